@@ -114,7 +114,7 @@ def _probe(key, history: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
     if len(history) and len(incoming):
         asked = words(incoming["digest"])
         slot = index.lookup(asked)
-        hit = (slot_digest[slot] == asked).all(axis=1)
+        hit = (slot_digest[slot] == asked).all(axis=1)  # the full digests, byte by byte
         known = incoming[hit].assign(digest=history["digest"].to_numpy()[slot_row[slot[hit]]])
     else:
         known = incoming[hit]
@@ -129,7 +129,8 @@ def groups(spark: SparkSession, history: DataFrame, incoming: DataFrame) -> Data
 
     def distinct(df):
         best = df.groupBy("digest").agg(F.max(_best()).alias("b"), F.count(F.lit(1)).alias("n"))
-        return best.select("digest", F.col("b.p").cast("long").alias("p"), F.col("b.neg").alias("neg"), "n")
+        # New column ids: cogroup() mixes up sides that stem from one table.
+        return best.select(F.concat("digest").alias("digest"), F.col("b.p").cast("long").alias("p"), F.col("b.neg").alias("neg"), "n")
 
     old, new = distinct(history), distinct(incoming)
     shards = max(common.partitions(spark), -(-max(old.count(), 1) // SHARD_SIZE))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, sentencepiece_codec
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 

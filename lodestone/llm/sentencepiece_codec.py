@@ -1,6 +1,7 @@
 """SentencePiece (BPE type) encoding by a table of last tokens per prefix, and decoding.
 
-A text's normal form is split before each run of white-space marks: no piece of the
+A text's normal form is split before each run of white-space marks (and at other places
+where no piece can lie, see ``_borders``): no piece of the
 vocabulary holds a mark after another character (checked when the model is loaded),
 so merges never cross such a border and the parts encode on their own.
 
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 MARK = "▁"
-#: Parts whose ids a worker remembers; beyond it forgets them all and starts again.
-MEMO = 300_000
+#: Parts whose ids a worker remembers; beyond, it forgets those unused since it was last full.
+MEMO = 500_000
 
 
 def merge(symbols: list[str], score: dict[str, float]) -> list[str]:
@@ -86,17 +87,31 @@ class Codec:
             raise ValueError("expected pieces with marks only in front and scores without ties")
         self.runs = {p: self.score[p] for p in runs}
         self.walk = ahocorasick.Automaton()
-        self.most = max(map(len, self.score))
-        for p in self.score:
-            if MARK * 2 not in p:
-                self.walk.add_word(p, p)
-        self.walk.make_automaton()
         self.single = {p: s for p, s in self.score.items() if p not in self.runs}
-        # A piece that its own characters don't merge into never appears.
-        self.dead = {p for p in self.single if len(p) > 1 and merge(list(p), self.single) != [p]}
+        for p in self.single:
+            if len(p) == 1 or merge(list(p), self.single) == [p]:  # else it never appears
+                self.walk.add_word(p, (p, len(p)))
+        self.walk.make_automaton()
+        self.parts = self._borders()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.run_memo: dict[int, list[int]] = {}
 
+    def _borders(self) -> re.Pattern:
+        """A pattern of parts between which no piece can lie.
+
+        A part begins at a run of marks, around white space that is in no piece, or at a run
+        of signs that no piece has after anything but a mark or another such sign.
+        """
+        pairs = {(p[i], p[i + 1]) for p in self.score for i in range(len(p) - 1)}
+        alone = {c for c in "\n\t\r" if not any(c in p for p in self.score)}
+        signs = {c for p in self.score for c in p if c != MARK and not c.isalnum()}
+        while bad := {b for a, b in pairs if b in signs and a != MARK and a not in signs}:
+            signs -= bad
+        own = {k: "".join(map(re.escape, sorted(x))) for k, x in (("alone", alone), ("signs", signs))}
+        stop = f"{MARK}{own['alone']}{own['signs']}"
+        lead = [f"{MARK}+" + (f"[{own['signs']}]*" if signs else "")] + ([f"[{own['signs']}]+"] if signs else [])
+        return re.compile(f"(?:{'|'.join(lead)})[^{stop}]*|[^{stop}]+" + (f"|[{own['alone']}]+" if alone else ""))
+
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
@@ -109,35 +124,29 @@ class Codec:
         """The pieces of a part with one mark at most, and single characters outside the vocabulary."""
         n = len(part)
         last: list[str | None] = [None] * (n + 1)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for at, piece in self.walk.iter(part):
-            ends[at].append(piece)
-        pairs, dead = self.pairs, self.dead
-        for at in range(n):
-            found = None
-            for piece in ends[at]:
-                if piece in dead:
-                    continue
-                i = at + 1 - len(piece)
+        pairs = self.pairs
+        for at, (piece, size) in self.walk.iter(part):  # of those that end at one character, the longest first
+            if last[at + 1] is None:
+                i = at + 1 - size
                 if i == 0:
-                    found = piece
-                    break
-                prev = last[i]
-                ok = pairs.get((prev, piece))
-                if ok is None:
-                    ok = self.compatible(prev, piece)
-                if ok:
-                    found = piece
-                    break
-            last[at + 1] = part[at] if found is None else found
+                    last[at + 1] = piece
+                else:
+                    key = (last[i] or part[i - 1], piece)
+                    ok = pairs.get(key)
+                    if ok or ok is None and self.compatible(*key):
+                        last[at + 1] = piece
         out, at = [], n
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            token = last[at] or part[at - 1]
+            out.append(token)
+            at -= len(token)
         return out[::-1]
 
     def spell(self, tokens: list[str]) -> list[int]:
-        out: list[int] = []
+        out = list(map(self.ids.get, tokens))
+        if None not in out:
+            return out
+        out = []
         for t in tokens:
             if (i := self.ids.get(t)) is not None:
                 out.append(i)
@@ -162,10 +171,13 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in split(text):
+        for part in self.split(text):
             out += self.part(part)
         return [*out, self.end]
 
+    def split(self, text: str) -> list[str]:
+        return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become blanks, the first one goes, control ids are silent."""
         out: list[str] = []
@@ -209,57 +221,46 @@ def utf8(raw: bytes) -> str:
         return "".join(out)
 
 
-_PART = re.compile(f"{MARK}+[^{MARK}]*")
-
-
-def split(text: str) -> list[str]:
-    return _PART.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
 def _encoder(model: bytes):
     cache = common.worker_cache("sentencepiece")
     key = hashlib.sha256(model).digest()
     if key not in cache:
-        cache[key] = (Codec(model), {})
+        cache[key] = (Codec(model), {}, {}, set())
     return cache[key]
 
 
 def _rows(batches, model: bytes):
-    codec, memo = _encoder(model)
+    codec, memo, old, odd = _encoder(model)
     end = str(codec.end)
     for pdf in batches:
-        n_tokens, ids, decoded = [], [], []
+        ids, decoded = [], []
         for text in pdf["text"]:
-            parts = split(text)
-            known = [memo.get(p) for p in parts]
+            parts = codec.split(text)
+            known = list(map(memo.get, parts))
             if None in known:
                 for k, part in enumerate(parts):
                     if known[k] is None and (found := memo.get(part)) is not None:
                         known[k] = found
                     elif known[k] is None:
-                        if len(memo) > MEMO:
+                        if len(memo) > MEMO // 2:
+                            old.clear()
+                            old.update(memo)
                             memo.clear()
+                        if (found := old.get(part)) is not None:
+                            known[k] = memo[part] = found
+                            continue
                         own = codec.part(part)
-                        # A letter in front keeps decode() from dropping the mark of an inner part.
-                        known[k] = memo[part] = (len(own), " ".join(map(str, own)), codec.decode([codec.ids["a"], *own])[1:])
-            if known:
-                counts, texts, spelt = zip(*known, strict=True)
-                n_tokens.append(sum(counts) + 1)
-                ids.append(" ".join((*texts, end)))
-                whole = "".join(spelt)
-                decoded.append(whole[1:] if whole.startswith(" ") else whole)
-            else:
-                n_tokens.append(1)
-                ids.append(end)
-                decoded.append("")
-        yield pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_tokens": n_tokens,
-                "ids": ids,
-                "decoded": decoded,
-            }
-        )
+                        known[k] = memo[part] = " ".join(map(str, own))
+                        # Else through decode(), where a letter in front keeps the mark of an inner part.
+                        if "".join(map(codec.pieces.__getitem__, own)) != part and codec.decode([codec.ids["a"], *own])[1:] != part.replace(MARK, " "):
+                            odd.add(part)
+            known.append(end)
+            ids.append(" ".join(known))
+            if odd and not odd.isdisjoint(parts):
+                decoded.append(codec.decode(list(map(int, ids[-1].split()))))
+            else:  # every part decodes to itself; the first mark was put in front
+                decoded.append(text.replace(MARK, " "))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [x.count(" ") + 1 for x in ids], "ids": ids, "decoded": decoded})
 
 
 def codec_table(docs: DataFrame, model: bytes) -> DataFrame:
