@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sentencepiece_codec
+from . import exact_dedup, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
 ORACLES = {

@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -104,13 +106,16 @@ class Codec:
         """
         pairs = {(p[i], p[i + 1]) for p in self.score for i in range(len(p) - 1)}
         alone = {c for c in "\n\t\r" if not any(c in p for p in self.score)}
-        signs = {c for p in self.score for c in p if c != MARK and not c.isalnum()}
-        while bad := {b for a, b in pairs if b in signs and a != MARK and a not in signs}:
-            signs -= bad
+        signs = set(string.punctuation)
+        outside = lambda: {(a, b) for a, b in pairs if b in signs and a != MARK and a not in signs}
+        while many := {b for b, n in Counter(b for a, b in outside() if a.isalpha()).items() if n > 5}:
+            signs -= many
+        few = "".join(map(re.escape, sorted({a for a, _ in outside()})))  # a run of signs stays with these
         own = {k: "".join(map(re.escape, sorted(x))) for k, x in (("alone", alone), ("signs", signs))}
-        stop = f"{MARK}{own['alone']}{own['signs']}"
-        lead = [f"{MARK}+" + (f"[{own['signs']}]*" if signs else "")] + ([f"[{own['signs']}]+"] if signs else [])
-        return re.compile(f"(?:{'|'.join(lead)})[^{stop}]*|[^{stop}]+" + (f"|[{own['alone']}]+" if alone else ""))
+        body = f"[^{MARK}{own['alone']}{own['signs']}]"
+        more = f"{body}*" + (f"(?:(?<=[{few}])[{own['signs']}]+{body}*)*" if few else "")
+        lead = f"(?:{MARK}+[{own['signs']}]*|[{own['signs']}]+)" if signs else f"{MARK}+"
+        return re.compile(f"{lead}{more}|{body}{more}" + (f"|[{own['alone']}]+" if alone else ""))
 
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
