@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, quality_classifier, quality_rules, sentencepiece_codec
+from . import exact_dedup, jaccard_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op5_suffix_dedup": suffix_dedup.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_quality_classifier": quality_classifier.query,
     "op8_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
