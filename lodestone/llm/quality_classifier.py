@@ -25,6 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +155,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     return common.texts(docs).mapInPandas(run, "doc_id long, score double")
 
 
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (as they are) that score ``threshold`` or more."""
+    shared = spark.sparkContext.broadcast((model.weight, model.bias))  # of fixed size
+
+    def run(batches):
+        own, memo = Model(*shared.value), {}
+        weight = own.weight.tolist()
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([x >= threshold for x in score_texts(texts, own, weight, memo)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(spark, docs, common.table(spark, sf_dir, "labels"))

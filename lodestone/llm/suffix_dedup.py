@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -280,6 +281,42 @@ def cut_out(raw: bytes, runs: np.ndarray) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def whole_characters(raw: bytes, runs: np.ndarray) -> np.ndarray:
+    """The runs without the characters that they hold only some bytes of."""
+    inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for a, b in runs.tolist():
+        while a < b and inner(a):
+            a += 1
+        while b > a and inner(b):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _clean(batches):
+    for batch in batches:
+        out = []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            if text is None or not found:
+                out.append(text)
+            else:
+                raw = text.encode()
+                out.append(cut_out(raw, whole_characters(raw, merged(found, len(raw)))).decode())
+        i, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+        batch = batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
+        batch = batch.set_column(n, batch.schema.field(n), pa.array([None if x is None else len(x) for x in out], batch.schema.field(n).type))
+        yield batch.drop_columns(["found"])
+
+
+def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (which has doc_id, text, n_chars) with the repeated bytes cut out of the texts, up to
+    whole characters, and n_chars set anew; a text that is wholly repeated becomes empty."""
+    found = spans_of(spark, common.texts(docs))
+    return repeats.with_found(docs, found, "left").mapInArrow(_clean, docs.schema)
+
+
 def _remove(batches, digest: bool):
     for pdf in batches:
         out = []
@@ -293,9 +330,8 @@ def _remove(batches, digest: bool):
         yield got.astype({"doc_id": "Int64"})
 
 
-def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, found: pairs of int64 (first, end) of repeated bytes, null where there are none."""
-    rows = common.texts(docs)
+def spans_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """doc_id and found, pairs of int64 (first, end) of repeated bytes; some rows per document or none."""
     buckets = common.partitions(spark)
     splitters = _splitters(rows, buckets)
     known = common.keep(spark, repeats.repeated(spark, rows, _keys, buckets), "anchors")
@@ -305,7 +341,13 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = repeats.copies(rows.filter(F.octet_length("text") >= SIZE)).withColumn("found", F.lit(np.array([0, 1 << 62], np.int64).tobytes()))
     found = common.keep(spark, inside.unionByName(whole), "spans")
     common.forget(spark, known)
-    return repeats.with_found(rows, found, "left")
+    return found
+
+
+def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text, found (all spans of a document, null where there are none)."""
+    rows = common.texts(docs)
+    return repeats.with_found(rows, spans_of(spark, rows), "left")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
