@@ -1,0 +1 @@
+"""Preparation, splits, models and evaluation."""
