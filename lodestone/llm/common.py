@@ -8,6 +8,8 @@ executor can reach, so that a lost executor costs a recomputation and no data.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
