@@ -14,8 +14,8 @@ parts are not sent: a set with too few full parts also signs under another
 partition (a family), until it has enough of them.
 
 Signatures travel as packed columns, one row per task and bucket.  Documents that share one
-are candidates: in groups of up to ``SMALL`` all pairs, in larger ones those with the group's
-first document.  For pairs inside larger groups one fact saves nearly all: a set with more than
+are candidates: in groups of up to ``SMALL`` all pairs, in larger ones those with two central
+documents.  For pairs inside larger groups one fact saves nearly all: a set with more than
 k full parts in smaller groups meets each partner in one of them.  What remains (sets that lie
 mostly in large groups, in different components so far) is paired completely in a second
 round.  Candidates with different sets are first compared by parity bitmaps (folding a set
@@ -238,8 +238,15 @@ def _groups(batches):
     s, n = start[size > SMALL], size[size > SMALL]
     if len(s):
         own = np.repeat(np.arange(len(s)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s[own]
-        pairs.append(np.column_stack([doc[s][own], doc[at]])[at != s[own]])
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(first, n) + s[own]
+        # Centres: the members that are in most large groups here. A text of which others are
+        # variants shares more with them than they do with each other.
+        _, back, often = np.unique(doc[at], return_inverse=True, return_counts=True)
+        order = np.lexsort((doc[at], -often[back], own))
+        for centre in (order[first], order[first + 1]):
+            some = at != at[centre][own]
+            pairs.append(np.sort(np.column_stack([doc[at[centre]][own], doc[at]])[some], axis=1))
         parity = (sig[at] & np.uint64(1)).astype(np.int64)
         yield pd.DataFrame({"g": sig[at].astype(np.int64), "a": doc[at], "b": parity, "spare": spare[at, parity].astype(np.int32)})
     both = np.unique(np.concatenate(pairs), axis=0)
@@ -292,15 +299,27 @@ def _check(spark: SparkSession, docs: DataFrame, info: DataFrame, pairs: DataFra
     return out
 
 
-def _cross(pdf_iter):
-    """All pairs of a group's members that lie in different components."""
-    for pdf in pdf_iter:
-        for ms, cs in zip(pdf["m"], pdf["c"], strict=True):
-            m, c = np.asarray(ms), np.asarray(cs)
+def _cross(batches):
+    """Pairs of a group's members that lie in different components and may link by their bitmaps."""
+    for pdf in batches:
+        out = [np.zeros((0, 2), np.int64)]
+        for members in pdf["x"]:
+            m = np.array([r["m"] for r in members])
+            c = np.array([r["c"] for r in members])
+            x = np.array([r["n"] for r in members])
+            # Members of one instance: widths differ by a factor of two or four at most.
+            size = min(len(r["bits"]) for r in members)
+            bits = np.stack([_fold(r["bits"], size) for r in members])
+            bits = bits.view(np.uint64)
             for k in range(len(m) - 1):
-                other = m[k + 1 :][c[k + 1 :] != c[k]]
+                other = np.flatnonzero((c[k + 1 :] != c[k]) & (100 * np.minimum(x[k + 1 :], x[k]) >= 75 * np.maximum(x[k + 1 :], x[k]))) + k + 1
                 if len(other):
-                    yield pd.DataFrame({"a": np.minimum(m[k], other), "b": np.maximum(m[k], other)})
+                    near = 7 * np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64) <= x[other] + x[k]
+                    other = other[near]
+                    if len(other):
+                        out.append(np.column_stack([np.minimum(m[k], m[other]), np.maximum(m[k], m[other])]))
+        both = np.unique(np.concatenate(out), axis=0)
+        yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -325,13 +344,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Second round: sets with too many signatures in large groups, still apart.
     members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare")
     poor = members.groupBy("m", "parity").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).filter("n > spare").select("m", "parity")
-    where = rows.select(F.col("doc_id").alias("m"), "rep").dropDuplicates(["m"]).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("m", F.coalesce("component", "rep").alias("c"))
-    apart = members.join(poor, ["m", "parity"], "left_semi").join(where, "m").groupBy("g").agg(F.collect_list("m").alias("m"), F.collect_list("c").alias("c"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1")
-    more = common.keep(spark, apart.select("m", "c").mapInPandas(_cross, "a long, b long").distinct(), "second")
+    where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("m", "n", "bits", F.coalesce("component", "rep").alias("c"))
+    apart = members.join(poor, ["m", "parity"], "left_semi").select("g", "m").distinct().join(where.select("m", "c"), "m").groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
+    apart = members.join(apart, "g", "left_semi").join(poor, ["m", "parity"], "left_semi").join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
+    more = common.keep(spark, apart.mapInPandas(_cross, "a long, b long").distinct(), "second")
     if not more.isEmpty():
         second = _check(spark, docs, info, more)
         comp = common.keep(spark, graph.components(spark, first.unionByName(second)), "components")
-    common.forget(spark, grouped)
+        common.forget(spark, second)
+    common.forget(spark, grouped, made, first, more)
     return rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
