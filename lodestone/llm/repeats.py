@@ -71,16 +71,41 @@ def send(batches, keys_of, buckets: int):
         yield from flush()
 
 
-def by_document(doc: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
-    """One row per document: doc_id and the bytes of its values, interleaved."""
-    order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], np.stack([v[order] for v in values], axis=1)
-    start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    stop = np.append(start, len(doc))[1:]
-    return pd.DataFrame({"doc_id": doc[start], "found": [values[a:b].tobytes() for a, b in zip(start, stop, strict=True)]})
+PACKED = "dest int, doc binary, value binary"
 
 
-def _repeated(batches):
+def pack(doc: np.ndarray, values: np.ndarray, dests: int) -> pd.DataFrame:
+    """Facts about documents (a row of ``values`` each) by destination: a row per destination, not per document."""
+    dest = (mix(doc.view(np.uint64)) % np.uint64(dests)).astype(np.int64)
+    order = np.lexsort((doc, dest))
+    doc, values, dest = doc[order], values[order], dest[order]
+    cut = np.searchsorted(dest, np.arange(dests + 1))
+    rows = [(k, doc[cut[k] : cut[k + 1]].tobytes(), values[cut[k] : cut[k + 1]].tobytes()) for k in range(dests) if cut[k] < cut[k + 1]]
+    return pd.DataFrame(rows, columns=["dest", "doc", "value"])
+
+
+def _unpack(batches):
+    doc, value = [], []
+    for pdf in batches:
+        for d, v in zip(pdf["doc"], pdf["value"], strict=True):
+            own = np.frombuffer(d, np.int64)
+            doc.append(own)
+            value.append(np.frombuffer(v, np.uint8).reshape(len(own), -1))
+    if doc:
+        doc, value = np.concatenate(doc), np.concatenate(value)
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        stop = np.append(start, len(doc))[1:]
+        yield pd.DataFrame({"doc_id": doc[start], "found": [value[a:b].tobytes() for a, b in zip(start, stop, strict=True)]})
+
+
+def gathered(packed: DataFrame, dests: int) -> DataFrame:
+    """doc_id and found: all facts about a document in one row."""
+    return packed.repartition(dests, "dest").mapInPandas(_unpack, "doc_id long, found binary")
+
+
+def _repeated(batches, dests: int):
     key, doc, digest = [], [], []
     for pdf in batches:
         for r in pdf.itertuples():
@@ -106,13 +131,13 @@ def _repeated(batches):
     key, doc = key[doc == first], doc[doc == first]
     again = np.concatenate([[False], key[1:] == key[:-1]])
     again[:-1] |= again[1:]
-    yield by_document(doc[again], key[again])
+    yield pack(doc[again], key[again], dests)
 
 
 def repeated(spark: SparkSession, docs: DataFrame, keys_of, buckets: int) -> DataFrame:
-    """doc_id and found (short keys as uint64, some rows per document) of keys that occur twice or more."""
+    """doc_id and found (short keys as uint64) of keys that occur twice or more."""
     sent = docs.mapInPandas(lambda it: send(it, keys_of, buckets), SENT)
-    return sent.repartition(buckets, "bucket").mapInPandas(_repeated, "doc_id long, found binary")
+    return gathered(sent.repartition(buckets, "bucket").mapInPandas(lambda it: _repeated(it, buckets), PACKED), buckets)
 
 
 def with_found(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:

@@ -95,7 +95,7 @@ def _extend(batches, buckets: int):
         yield from flush()
 
 
-def _later(batches):
+def _later(batches, dests: int):
     """Windows of documents that a smaller document has."""
     key, doc = [], []
     for pdf in batches:
@@ -108,7 +108,7 @@ def _later(batches):
         key, doc = key[order], doc[order]
         run = np.concatenate([[True], key[1:] != key[:-1]])
         later = doc > doc[np.flatnonzero(run)][np.cumsum(run) - 1]
-        yield repeats.by_document(doc[later], key[later])
+        yield repeats.pack(doc[later], key[later], dests)
 
 
 def removed_words(words: list[bytes], found) -> np.ndarray:
@@ -150,7 +150,7 @@ def _marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = common.partitions(spark)
     anchors = common.keep(spark, repeats.repeated(spark, rows, _keys, buckets), "anchors")
     windows = repeats.with_found(rows, anchors, "inner").mapInPandas(lambda it: _extend(it, buckets), "bucket int, key binary, doc binary, ids binary")
-    later = windows.repartition(buckets, "bucket").mapInPandas(_later, "doc_id long, found binary")
+    later = repeats.gathered(windows.repartition(buckets, "bucket").mapInPandas(lambda it: _later(it, buckets), repeats.PACKED), buckets)
     whole = repeats.copies(rows, lambda c: F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))).withColumn("found", F.lit(b""))
     found = common.keep(spark, later.unionByName(whole), "windows")
     common.forget(spark, anchors)

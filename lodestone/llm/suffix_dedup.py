@@ -161,7 +161,6 @@ def _in_order(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 CONTEXT = "bucket int, n int, right binary, left binary, low binary, high binary, doc binary, place binary"
-FOUND = "doc_id long, found binary"
 _COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
 
 
@@ -181,9 +180,8 @@ def _contexts(batches, buckets: int, splitters: list[bytes]):
         rest = np.ones(len(doc), bool)
         rest[one] = False
         if rest.any():
-            got = repeats.by_document(doc[rest], place[rest] - high[rest], place[rest] - low[rest] + SIZE)
-            for r in got.itertuples():
-                yield -1, len(got), r.found, b"", b"", b"", np.int64(r.doc_id).tobytes(), b""
+            repeated = np.stack([place[rest] - high[rest], place[rest] - low[rest] + SIZE], axis=1)
+            yield -1, int(rest.sum()), repeated.tobytes(), b"", b"", b"", doc[rest].tobytes(), b""
         one.sort()
         lead = np.ascontiguousarray(right[one, :LEAD]).view(f"S{LEAD}").ravel()
         bucket = np.searchsorted(cuts, lead, "right")
@@ -223,13 +221,13 @@ def _contexts(batches, buckets: int, splitters: list[bytes]):
         yield from rows()
 
 
-def _compare(batches):
+def _compare(batches, dests: int):
     """The repeated spans of a bucket's documents."""
     cols: list[list] = [[] for _ in range(6)]
     for pdf in batches:
         for r in pdf.itertuples():
             if r.bucket < 0:
-                yield pd.DataFrame({"doc_id": [np.frombuffer(r.doc, np.int64)[0]], "found": [r.right]})
+                yield repeats.pack(np.frombuffer(r.doc, np.int64), np.frombuffer(r.right, np.int64).reshape(-1, 2), dests)
                 continue
             for col, value in zip(cols, (np.frombuffer(r.right, np.uint8).reshape(-1, SIZE), np.frombuffer(r.left, np.uint8).reshape(-1, BACK), np.frombuffer(r.low, np.uint8), np.frombuffer(r.high, np.uint8), np.frombuffer(r.doc, np.int64), np.frombuffer(r.place, np.int64)), strict=True):
                 col.append(value)
@@ -239,7 +237,7 @@ def _compare(batches):
     order = _in_order(doc, place)
     right, left, low, high, doc, place = (x[order] for x in (right, left, low, high, doc, place))
     item, a, b = spans(later_windows(right, left, low.astype(np.int64), high.astype(np.int64)), place)
-    yield repeats.by_document(doc[item], a, b)
+    yield repeats.pack(doc[item], np.stack([a, b], axis=1), dests)
 
 
 def _splitters(rows: DataFrame, buckets: int) -> list[bytes]:
@@ -337,7 +335,7 @@ def spans_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
     known = common.keep(spark, repeats.repeated(spark, rows, _keys, buckets), "anchors")
     contexts = repeats.with_found(rows, known, "inner").mapInPandas(lambda it: _contexts(it, buckets, splitters), CONTEXT)
     apart = F.when(F.col("bucket") < 0, F.xxhash64("doc")).otherwise(F.col("bucket").cast("long"))
-    inside = contexts.repartition(buckets, apart).mapInPandas(_compare, FOUND)
+    inside = repeats.gathered(contexts.repartition(buckets, apart).mapInPandas(lambda it: _compare(it, buckets), repeats.PACKED), buckets)
     whole = repeats.copies(rows.filter(F.octet_length("text") >= SIZE)).withColumn("found", F.lit(np.array([0, 1 << 62], np.int64).tobytes()))
     found = common.keep(spark, inside.unionByName(whole), "spans")
     common.forget(spark, known)
