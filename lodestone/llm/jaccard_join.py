@@ -15,9 +15,10 @@ partition (a family), until it has enough of them.
 
 Signatures travel as packed columns, one row per task and bucket.  Documents that share one
 are candidates: in groups of up to ``SMALL`` all pairs, in larger ones those with two central
-documents.  For pairs inside larger groups one fact saves nearly all: a set with more than
-k full parts in smaller groups meets each partner in one of them.  What remains (sets that lie
-mostly in large groups, in different components so far) is paired completely in a second
+documents.  For the other pairs inside larger groups one fact
+saves nearly all: linked sets share more signatures than a set has full parts beyond k, so each set may
+leave out as many, those in the largest groups.  Who has none left in a large group is done; for the
+others, pairs in different components so far are looked at completely in a second
 round.  Candidates with different sets are first compared by parity bitmaps (folding a set
 into bits can only lower the number of differing elements, so no link is lost), then exactly.
 
@@ -32,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -151,7 +152,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             # With one spare part or none, `full > k` is what the guarantee needs.
             good = full > k
             parity = inst & 1
-            spare[todo[good], parity[good]] = (full - k - 1)[good]
+            # A set that signs under several families, or by pairs of parts, shares one signature for sure and no more.
+            spare[todo[good], parity[good]] = np.where(paired | (family > 0), 0, full - k - 1)[good]
             family += 1
             if family == 60:  # not seen: such sets share a signature of their own
                 rest, p = todo[~good], parity[~good]
@@ -248,9 +250,9 @@ def _groups(batches):
             some = at != at[centre][own]
             pairs.append(np.sort(np.column_stack([doc[at[centre]][own], doc[at]])[some], axis=1))
         parity = (sig[at] & np.uint64(1)).astype(np.int64)
-        yield pd.DataFrame({"g": sig[at].astype(np.int64), "a": doc[at], "b": parity, "spare": spare[at, parity].astype(np.int32)})
+        yield pd.DataFrame({"g": sig[at].astype(np.int64), "a": doc[at], "b": parity, "spare": spare[at, parity].astype(np.int32), "size": n[own].astype(np.int32)})
     both = np.unique(np.concatenate(pairs), axis=0)
-    yield pd.DataFrame({"g": -1, "a": both[:, 0], "b": both[:, 1], "spare": 0}).astype({"g": "int64", "spare": "int32"})
+    yield pd.DataFrame({"g": -1, "a": both[:, 0], "b": both[:, 1], "spare": 0, "size": 0}).astype({"g": "int64", "spare": "int32", "size": "int32"})
 
 
 def _describe(batches):
@@ -299,18 +301,30 @@ def _check(spark: SparkSession, docs: DataFrame, info: DataFrame, pairs: DataFra
     return out
 
 
-def _cross(batches):
-    """Pairs of a group's members that lie in different components and may link by their bitmaps."""
+PAIRS = "dest int, a binary, b binary"
+
+
+def _cross(batches, dests: int):
+    """Pairs of a group's members that lie in different components and may link by their bitmaps, packed by destination."""
+    out = [np.zeros((0, 2), np.int64)]
+    held = 0
+
+    def packed():
+        both = np.unique(np.concatenate(out), axis=0)
+        dest = (mix(both[:, 0].copy().view(np.uint64)) % np.uint64(dests)).astype(np.int64)
+        order = np.argsort(dest, kind="stable")
+        both, cut = both[order], np.searchsorted(dest[order], np.arange(dests + 1))
+        rows = [(k, both[cut[k] : cut[k + 1], 0].tobytes(), both[cut[k] : cut[k + 1], 1].tobytes()) for k in range(dests) if cut[k] < cut[k + 1]]
+        return pd.DataFrame(rows, columns=["dest", "a", "b"])
+
     for pdf in batches:
-        out = [np.zeros((0, 2), np.int64)]
         for members in pdf["x"]:
             m = np.array([r["m"] for r in members])
             c = np.array([r["c"] for r in members])
             x = np.array([r["n"] for r in members])
             # Members of one instance: widths differ by a factor of two or four at most.
             size = min(len(r["bits"]) for r in members)
-            bits = np.stack([_fold(r["bits"], size) for r in members])
-            bits = bits.view(np.uint64)
+            bits = np.stack([_fold(r["bits"], size) for r in members]).view(np.uint64)
             for k in range(len(m) - 1):
                 other = np.flatnonzero((c[k + 1 :] != c[k]) & (100 * np.minimum(x[k + 1 :], x[k]) >= 75 * np.maximum(x[k + 1 :], x[k]))) + k + 1
                 if len(other):
@@ -318,7 +332,18 @@ def _cross(batches):
                     other = other[near]
                     if len(other):
                         out.append(np.column_stack([np.minimum(m[k], m[other]), np.maximum(m[k], m[other])]))
-        both = np.unique(np.concatenate(out), axis=0)
+                        held += len(other)
+        if held > FLUSH:
+            yield packed()
+            out, held = [np.zeros((0, 2), np.int64)], 0
+    if held:
+        yield packed()
+
+
+def _distinct(batches):
+    both = [np.stack([np.frombuffer(x, np.int64) for x in (a, b)], axis=1) for pdf in batches for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+    if both:
+        both = np.unique(np.concatenate(both), axis=0)
         yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
@@ -337,17 +362,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     info = made.join(rows.select("doc_id", "rep").dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"])
 
     n = common.partitions(spark)
-    grouped = common.keep(spark, common.texts(docs).mapInPandas(lambda it: _send(it, n), SENT).repartition(n, "bucket").mapInPandas(_groups, "g long, a long, b long, spare int"), "groups")
+    grouped = common.keep(spark, common.texts(docs).mapInPandas(lambda it: _send(it, n), SENT).repartition(n, "bucket").mapInPandas(_groups, "g long, a long, b long, spare int, size int"), "groups")
     first = _check(spark, docs, info, grouped.filter("g = -1").select("a", "b").distinct())
     comp = common.keep(spark, graph.components(spark, first), "components")
 
     # Second round: sets with too many signatures in large groups, still apart.
-    members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare")
-    poor = members.groupBy("m", "parity").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).filter("n > spare").select("m", "parity")
+    # Linked sets share more than `spare` signatures, so in one order of all signatures each set may leave out
+    # its last `spare`: those of the largest groups. Who had no more than that in large groups is done.
+    members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare", "size").repartition(n, "m")
+    last = F.row_number().over(Window.partitionBy("m", "parity").orderBy(F.desc("size"), "g"))
+    members = members.withColumn("last", last).filter("last > spare").select("g", "m")
     where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("m", "n", "bits", F.coalesce("component", "rep").alias("c"))
-    apart = members.join(poor, ["m", "parity"], "left_semi").select("g", "m").distinct().join(where.select("m", "c"), "m").groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
-    apart = members.join(apart, "g", "left_semi").join(poor, ["m", "parity"], "left_semi").join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
-    more = common.keep(spark, apart.mapInPandas(_cross, "a long, b long").distinct(), "second")
+    apart = members.join(where.select("m", "c"), "m").groupBy("g").agg(F.collect_list("m").alias("ms"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", F.explode("ms").alias("m"))
+    apart = apart.join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
+    more = common.keep(spark, apart.mapInPandas(lambda it: _cross(it, n), PAIRS).repartition(n, "dest").mapInPandas(_distinct, "a long, b long"), "second")
     if not more.isEmpty():
         second = _check(spark, docs, info, more)
         comp = common.keep(spark, graph.components(spark, first.unionByName(second)), "components")
