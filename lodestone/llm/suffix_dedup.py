@@ -84,7 +84,10 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         last.append(np.append(new[1:], len(place)) - 1 + begin)
     if not at:
         return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    return tuple(map(np.concatenate, (at, keys, first, last)))
+    at, keys, first, last = map(np.concatenate, (at, keys, first, last))
+    # An anchor whose windows lie on both sides of a piece border was found twice: one range of windows.
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    return at[new], keys[new], first[new], last[np.append(new[1:], True)]
 
 
 def _keys(raw: bytes):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from lodestone.llm import suffix_dedup as sd
 
@@ -69,3 +70,29 @@ def test_edge_tables(spark):
     text = "".join(map(str, range(60)))
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in sd.suffix_dedup(spark, spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 110)]
+
+
+def test_piece_borders(spark, monkeypatch):
+    """Windows that begin just behind a piece border are judged, in tasks as they are and in small pieces against brute force."""
+    rng = random.Random(5)
+    border = sd.PIECE - sd.SIZE + 1
+    text = "".join(rng.choices("abcdefghijklmnop", k=sd.PIECE + 500))
+    rows = [(1, text), *((2 + k, text[border + k : border + k + sd.SIZE]) for k in range(3))]
+    got = {r["doc_id"]: r["n_removed"] for r in sd.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {1: 0, 2: sd.SIZE, 3: sd.SIZE, 4: sd.SIZE}
+
+    monkeypatch.setattr(sd, "PIECE", 400)
+    rows = [(i, t or "") for i, t in corpus(3) if len(t or "") < 3000]
+    pdf = pd.DataFrame([(i, t, [sd.repeats.short(sd.anchors(t.encode())[1], 1).tobytes()]) for i, t in rows], columns=["doc_id", "text", "found"])
+    packed = list(sd._compare(sd._contexts([pdf], 1, []), 1))
+    found = {i: [] for i, _ in rows}
+    for p in packed:
+        for doc, value in zip(p["doc"], p["value"], strict=True):
+            for i, span in zip(np.frombuffer(doc, np.int64).tolist(), np.frombuffer(value, np.int64).reshape(-1, 2), strict=True):
+                found[i].append(span.tobytes())
+    want = brute(rows)
+    for i, t in rows:
+        runs = sd.merged(found[i], len(t.encode()))
+        assert (int((runs[:, 1] - runs[:, 0]).sum()), len(runs), sd.cut_out(t.encode(), runs)) == want[i][1:], i
+        place = sd.anchors(t.encode())[0]
+        assert len(np.unique(place)) == len(place)
