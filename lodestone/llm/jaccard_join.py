@@ -333,9 +333,9 @@ def _cross(batches, dests: int):
                     if len(other):
                         out.append(np.column_stack([np.minimum(m[k], m[other]), np.maximum(m[k], m[other])]))
                         held += len(other)
-        if held > FLUSH:
-            yield packed()
-            out, held = [np.zeros((0, 2), np.int64)], 0
+                if held > FLUSH:
+                    yield packed()
+                    out, held = [np.zeros((0, 2), np.int64)], 0
     if held:
         yield packed()
 
@@ -347,6 +347,30 @@ def _distinct(batches):
         yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
+def _prepare(spark: SparkSession, docs: DataFrame):
+    """The documents described (kept), all rows with their representatives (kept), what is known of each id, and the signature groups (kept)."""
+    made = common.keep(spark, common.texts(docs).mapInPandas(_describe, "doc_id long, n_shingles long, set_key binary, bits binary"), "described")
+    reps = made.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Every row; the bitmaps stay behind.
+    rows = common.keep(spark, made.select("doc_id", "n_shingles", "set_key").join(reps, "set_key").select("doc_id", "n_shingles", "rep"), "rows")
+    info = made.join(rows.select("doc_id", "rep").dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"])
+
+    n = common.partitions(spark)
+    grouped = common.keep(spark, common.texts(docs).mapInPandas(lambda it: _send(it, n), SENT).repartition(n, "bucket").mapInPandas(_groups, "g long, a long, b long, spare int, size int"), "groups")
+    return made, rows, info, grouped
+
+
+def _members(grouped: DataFrame, n: int) -> DataFrame:
+    """Of the large groups, g and m: the members that may have links there that they have in no other group.
+
+    Linked sets share more than `spare` signatures, so in one order of all signatures each set may leave out
+    its last `spare`: those of the largest groups. Who had no more than that in large groups is done.
+    """
+    members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare", "size").repartition(n, "m")
+    last = F.row_number().over(Window.partitionBy("m", "parity").orderBy(F.desc("size"), "g"))
+    return members.withColumn("last", last).filter("last > spare").select("g", "m")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
 
@@ -355,23 +379,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     document, described by any one of their texts if these differ; a null id is linked with
     nothing; other columns are ignored.
     """
-    made = common.keep(spark, common.texts(docs).mapInPandas(_describe, "doc_id long, n_shingles long, set_key binary, bits binary"), "described")
-    reps = made.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # Every row; the bitmaps stay behind.
-    rows = common.keep(spark, made.select("doc_id", "n_shingles", "set_key").join(reps, "set_key").select("doc_id", "n_shingles", "rep"), "rows")
-    info = made.join(rows.select("doc_id", "rep").dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"])
-
+    made, rows, info, grouped = _prepare(spark, docs)
     n = common.partitions(spark)
-    grouped = common.keep(spark, common.texts(docs).mapInPandas(lambda it: _send(it, n), SENT).repartition(n, "bucket").mapInPandas(_groups, "g long, a long, b long, spare int, size int"), "groups")
     first = _check(spark, docs, info, grouped.filter("g = -1").select("a", "b").distinct())
     comp = common.keep(spark, graph.components(spark, first), "components")
 
     # Second round: sets with too many signatures in large groups, still apart.
-    # Linked sets share more than `spare` signatures, so in one order of all signatures each set may leave out
-    # its last `spare`: those of the largest groups. Who had no more than that in large groups is done.
-    members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare", "size").repartition(n, "m")
-    last = F.row_number().over(Window.partitionBy("m", "parity").orderBy(F.desc("size"), "g"))
-    members = members.withColumn("last", last).filter("last > spare").select("g", "m")
+    members = _members(grouped, n)
     where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("m", "n", "bits", F.coalesce("component", "rep").alias("c"))
     apart = members.join(where.select("m", "c"), "m").groupBy("g").agg(F.collect_list("m").alias("ms"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", F.explode("ms").alias("m"))
     apart = apart.join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
@@ -384,5 +398,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, each compared whatever the components are: membership and links.
+
+    Membership, per row of ``docs``: doc_id, n_shingles, class_id (the least id with the same set of
+    shingles; its members are linked), n_links (other classes that this one is linked with).
+    Links: a, b, class ids, a < b, each pair once.  Their number grows with the square of a near-copy group.
+    A null id has a null class and no links; otherwise as in :func:`near_duplicates`.
+    """
+    made, rows, info, grouped = _prepare(spark, docs)
+    n = common.partitions(spark)
+    where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "bits", F.col("rep").alias("c"))
+    large = _members(grouped, n).join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
+    more = large.mapInPandas(lambda it: _cross(it, n), PAIRS).repartition(n, "dest").mapInPandas(_distinct, "a long, b long")
+    links = _check(spark, docs, info, grouped.filter("g = -1").select("a", "b").unionByName(more).distinct())
+    counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("class_id"))
+    membership = classes.join(counts, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    common.forget(spark, grouped, made)
+    return membership, links
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, common.table(spark, sf_dir, "documents"))

@@ -99,3 +99,25 @@ def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_shingles"]) for r in jj.near_duplicates(spark, docs).collect())
     assert got == [(0, 2), (1, 2), (1, 2), (2, 0)]
+
+
+def test_all_links(spark):
+    """Links in groups that are one component after the first round are compared too."""
+    rng = random.Random(4)
+    rows = corpus(4, 60)
+    base = [f"q{k}" for k in range(300)]
+    for k in range(50):  # near copies of one text: all sign with its parts, some link, some don't
+        w = list(base)
+        for j in rng.sample(range(300), rng.randrange(8)):
+            w[j] = f"z{k}_{j}"
+        rows.append((1000 + k, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(tuple(jj.shingles(t or "").tolist()) or i, []).append(i)
+    known = {min(ids): set(s) if isinstance(s, tuple) else set() for s, ids in sets.items()}
+    want = {(a, b) for a in known for b in known if a < b and known[a] & known[b] and jj.links(len(known[a]), len(known[b]), len(known[a] & known[b]))}
+    membership, links = jj.class_links(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    told = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in membership.collect()}
+    assert told == {i: (min(ids), sum(min(ids) in p for p in want)) for ids in sets.values() for i in ids}
