@@ -6,9 +6,9 @@ over trusted documents.  A document's score is the mean over its n-grams of
 ``log(target / raw)``; it passes if the score is ``THRESHOLD`` or more, so every document
 gets a fixed verdict, without sampling.
 
-The trusted rows are labelled ones, at most ``TRUSTED`` of them (those whose ids have the
-smallest hashes): a bounded training sample.  The raw counts cover all documents.  Both
-are sums of vectors of fixed size, one per task, added up by Spark.
+The trusted rows are all those with a trusted id, the raw counts cover all documents.  Both
+are sums of vectors of fixed size, one per task, added up by Spark.  Ids are told by a
+merge join at every size: their number grows with the labels, so they are never sent whole.
 
 Defined results: a null text has no words; a text without words has all counts 0 and fails
 the base rules; without trusted rows the score is 0 for all; repeated documents get equal
@@ -27,7 +27,6 @@ from . import common
 
 BUCKETS = 1 << 16
 ALPHA = 1.0
-TRUSTED = 50_000
 #: Passing scores; see the README for how the two classes of ``labels`` spread around it.
 THRESHOLD = -0.15
 SYMBOLS = "#*$%&|<>"
@@ -70,25 +69,25 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _count(batches, trusted: set):
+def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for pdf in batches:
-        for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for text, trusted in zip(pdf["text"], pdf["trusted"], strict=True):
             h = word_hashes(text.encode().split())
             if len(h):
                 own = grams(h).astype(np.int64)
                 np.add.at(raw, own, 1)
-                if i in trusted:
+                if trusted:
                     np.add.at(target, own, 1)
     at = np.flatnonzero(raw)
     yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
 
 
-def ratios(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, limit: int = TRUSTED) -> np.ndarray:
+def ratios(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket."""
-    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    trusted = spark.sparkContext.broadcast({r[0] for r in ids.collect()})  # at most `limit` ids
-    counted = common.texts(docs).mapInPandas(lambda it: _count(it, trusted.value), "bucket int, raw long, target long")
+    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+    told = common.texts(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    counted = told.mapInPandas(_count, "bucket int, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]

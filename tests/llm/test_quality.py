@@ -107,3 +107,9 @@ def test_no_labels(spark):
     model = qc.fit(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert qc.score(spark, docs, model).first()["score"] == 0.5
     assert qc.score(spark, docs.limit(0), model).count() == 0
+
+
+def test_all_trusted_rows_count(spark):
+    """If all documents are trusted, both multinomials are the same, however many there are."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11) AS text")
+    assert not qr.ratios(spark, docs, docs.select("doc_id").unionByName(docs.select("doc_id"))).any()
