@@ -350,24 +350,24 @@ def _model_query(name, make):
 
 
 _model_query("ease_scores", lambda: models.EASE(100.0))
-_model_query("nmf_scores", lambda: trained.ImplicitNMF(8, iterations=60))
-_model_query("lightgcn_scores", lambda: trained.LightGCN(16, epochs=8))
-_model_query("two_tower_scores", lambda: trained.TwoTower(16, text_dim=8, epochs=3))
-_model_query("sasrec_scores", lambda: trained.SASRec(16, epochs=3))
-_model_query("biased_mf_scores", lambda: trained.BiasedMF(8, 8))
+_model_query("nmf_scores", trained.ImplicitNMF)
+_model_query("lightgcn_scores", trained.LightGCN)
+_model_query("two_tower_scores", trained.TwoTower)
+_model_query("sasrec_scores", trained.SASRec)
+_model_query("biased_mf_scores", trained.BiasedMF)
 
 
 @query()
 def biased_mf_predict(spark, sf_dir):
     train, test = _event_parts(spark, sf_dir)
-    return trained.BiasedMF(8, 8).fit(train).predict(test.select("user_id", "item_id", "rating")).withColumn("prediction", F.round("prediction", 6))
+    return trained.BiasedMF().fit(train).predict(test.select("user_id", "item_id", "rating")).withColumn("prediction", F.round("prediction", 6))
 
 
 @query()
 def bootstrap_ci(spark, sf_dir):
     train, test = parts(spark, sf_dir)
     good = _good(train, test)
-    return evaluate.bootstrap(evaluate.user_metrics(_popularity_top(train, good), good, KS), KS, 100)
+    return evaluate.bootstrap(evaluate.user_metrics(_popularity_top(train, good), good, KS), KS, 500)
 
 
 @query()
