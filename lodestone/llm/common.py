@@ -14,11 +14,20 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WHITE = b" \t\n\x0b\x0c\r"
+#: Estimated bytes of a table that one bucket of a shuffle stands for.
+BUCKET_BYTES = 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,44 +35,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one of our own in local mode and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files as soon as they have ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and is computed once."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, and is computed once.
+
+    The table goes with :func:`forget`, and in any case when the driver's JVM ends.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
-    free(spark)
     return out
 
 
 def forget(spark: SparkSession, *kept: DataFrame) -> None:
     """Delete tables of :func:`keep` that no later step reads."""
     for df in kept:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that have ended."""
-    spark.sparkContext._jvm.System.gc()
+        files, where = _file_system(spark, df._lodestone_path)
+        files.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession, df: DataFrame) -> int:
+    """How many buckets a shuffle in proportion to ``df`` takes: Spark's setting, or more if the planner's size of ``df`` asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # a table of unknown size counts as endless
+    return max(partitions(spark), -(-size // BUCKET_BYTES) if known else 1)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, so that its tasks share it."""
     home = sys.modules.setdefault("_lodestone_worker_cache", types.ModuleType("_lodestone_worker_cache"))
@@ -73,3 +105,19 @@ def worker_cache(name: str) -> dict:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, whatever else the table has; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def to_frame(batch: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """Pandas would make doubles of 64-bit integers beside a null; these stay integers."""
+    return batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+def frames(df: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` by way of Arrow, in which 64-bit integers stay exact beside nulls."""
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def call(batches):
+        for pdf in run(map(to_frame, batches)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=out, preserve_index=False)
+
+    return df.mapInArrow(call, schema)

@@ -13,14 +13,25 @@ that a set has more than k parts with elements, one of which must agree.  Signat
 parts are not sent: a set with too few full parts also signs under another
 partition (a family), until it has enough of them.
 
-Signatures travel as packed columns, one row per task and bucket.  Documents that share one
-are candidates: in groups of up to ``SMALL`` all pairs, in larger ones those with two central
-documents.  For the other pairs inside larger groups one fact
-saves nearly all: linked sets share more signatures than a set has full parts beyond k, so each set may
-leave out as many, those in the largest groups.  Who has none left in a large group is done; for the
-others, pairs in different components so far are looked at completely in a second
-round.  Candidates with different sets are first compared by parity bitmaps (folding a set
-into bits can only lower the number of differing elements, so no link is lost), then exactly.
+Documents with the same set are a class; a link is between classes.  Steps:
+
+1. Signatures travel packed, one row per task and bucket, and meet.  Only those of two classes
+   or more go on, each with the number of classes that have it.
+2. Linked sets share more signatures than one of them has full parts beyond k.  In one order of
+   all signatures, rarest first, each set may therefore leave out as many of its last
+   ones: a passage that many texts share is left out, copies stay.
+3. In every group one central class, which is in most groups, is paired with the others.
+   Candidates are compared by size, by parity bitmaps (folding a set into bits can only lower the
+   number of differing elements, so no link is lost), then exactly.  Components follow.
+4. In groups that still hold more than one component, all pairs across components are looked
+   at, in blocks of bounded size, by size and bitmap before a pair is written.
+
+Signatures that a bounded sample shows to be in one of a hundred documents are dealt by class
+too, so that none of them meets in one task; they count as the most frequent. The sample only
+says how rows are dealt and in which order signatures are left out, either of which gives the same links.
+
+Hashes of 64 bits stand for shingles where two sets are compared; the results of two documents
+are wrong only if a hash of one meets an other shingle's of the second.  Classes are told by 128 bits.
 
 Defined results: see :func:`near_duplicates`.
 """
@@ -33,16 +44,23 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph
+from .repeats import mix, pack
 
 WORDS = 5
-#: Signature groups up to this size are paired completely at once.
-SMALL = 16
-#: Signatures a task holds before it sends them off.
-FLUSH = 4_000_000
+#: Shingles a task holds before it sends their signatures off.
+FLUSH = 1_500_000
+#: Documents whose signatures tell which are frequent, and the share of them that counts as such.
+SAMPLE, FREQUENT = 2000, 0.01
+#: Members of a group that are compared in one block.
+BLOCK = 256
+#: Pairs a task holds before it sends them off.
+PAIRS = 500_000
+_MOST = (1 << 31) - 1
+_LOW = np.uint64((1 << 40) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -57,12 +75,6 @@ def _bands(most: int = 1 << 40) -> np.ndarray:
 BANDS = _bands()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.encode().lower().split()  # of bytes: only A-Z change, and only ASCII white space parts
@@ -73,6 +85,15 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(sum((h[k : k + n] * _ODD[k] for k in range(1, WORDS)), h[:n] * _ODD[0])))
 
 
+def set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def tag(key: bytes) -> int:
+    """What travels of a class: 64 bits. Classes that share them only become candidates of each other's partners."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def links(x: int, y: int, both: int) -> bool:
     return 100 * both >= 75 * (x + y - both)
 
@@ -117,6 +138,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for extra in (0, 1):
         todo = np.flatnonzero(sizes > 0)
         family = 0
+        # Ends for all: in a family a set has too few full parts with a chance well below one (1/9 at most).
         while len(todo):
             inst = band[todo] + extra
             x = sizes[todo]
@@ -126,7 +148,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             start = np.concatenate([[0], np.cumsum(parts)])
             h = np.concatenate([sets[d] for d in todo])
             of = np.repeat(np.arange(len(todo)), x)
-            salt = mix((inst * 64 + family).astype(np.uint64) * _ODD[0])
+            salt = mix((inst * (1 << 32) + family).astype(np.uint64) * _ODD[0])
             place = mix(h + salt[of])
             at = start[of] + ((place >> np.uint64(32)) % parts[of].astype(np.uint64)).astype(np.int64)
             total = np.zeros(start[-1], np.uint64)
@@ -151,108 +173,150 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 owners.append(todo[who])
             # With one spare part or none, `full > k` is what the guarantee needs.
             good = full > k
-            parity = inst & 1
             # A set that signs under several families, or by pairs of parts, shares one signature for sure and no more.
-            spare[todo[good], parity[good]] = np.where(paired | (family > 0), 0, full - k - 1)[good]
+            spare[todo[good], (inst & 1)[good]] = np.where(paired | (family > 0), 0, full - k - 1)[good]
             family += 1
-            if family == 60:  # not seen: such sets share a signature of their own
-                rest, p = todo[~good], parity[~good]
-                sigs.append((mix(inst[~good].astype(np.uint64) + _ODD[4]) & ~np.uint64(1)) | p.astype(np.uint64))
-                owners.append(rest)
-                break
             todo = todo[~good]
     return np.concatenate(sigs), np.concatenate(owners), spare
 
 
-SENT = "bucket int, low binary, high binary, doc binary, ids binary, spare binary"
+def short(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """What is sent of a signature: its bucket and 40 bits."""
+    return ((sig >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | (sig & _LOW)
+
+
+def _sets(batches):
+    """(id, set, key) of the documents that have an id and a set."""
+    for pdf in batches:
+        for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            if not pd.isna(i) and len(s := shingles(text)):
+                yield int(i), s, set_key(s)
+
+
+SENT = "bucket int, frequent boolean, low binary, high binary, at binary, tags binary, spare binary"
 
 
-def _send(batches, buckets: int):
-    """Pack the signatures of a task's distinct sets by bucket."""
-    ids: list[int] = []
+def _send(batches, buckets: int, frequent: np.ndarray):
+    """Pack the signatures of a task's distinct sets by bucket; frequent ones as their numbers, dealt by class too."""
+    tags: list[int] = []
     sets: list[np.ndarray] = []
     seen: set[bytes] = set()
     size = 0
 
     def packed():
         sig, who, spare = signatures(sets)
-        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        sig, who, bucket = sig[order], who[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        all_ids = np.array(ids, np.int64)
-        for k in range(buckets):
-            s, w = sig[cut[k] : cut[k + 1]], who[cut[k] : cut[k + 1]]
-            if len(s):
-                some, at = np.unique(w, return_inverse=True)
-                kind = np.uint16 if len(some) < 1 << 16 else np.uint32
-                yield k, s.astype(np.uint32).tobytes(), (s >> np.uint64(32)).astype(np.uint8).tobytes(), at.astype(kind).tobytes(), all_ids[some].tobytes(), np.minimum(spare[some], 65535).astype(np.uint16).tobytes()
+        own = np.array(tags, np.int64)
+        often = np.isin(sig, frequent)
+        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        bucket[often] = (mix(sig[often] ^ own[who[often]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        dest = 2 * bucket + often
+        order = np.argsort(dest, kind="stable")
+        sig, who, dest = sig[order], who[order], dest[order]
+        start = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]]))
+        for a, b in zip(start, np.append(start[1:], len(dest)), strict=True):
+            s, w = sig[a:b], who[a:b]
+            hot = bool(dest[a] & 1)
+            if hot:
+                s = np.searchsorted(frequent, s).astype(np.uint64)
+            some, at = np.unique(w, return_inverse=True)
+            kind = np.uint16 if len(some) < 1 << 16 else np.uint32
+            yield int(dest[a] >> 1), hot, s.astype(np.uint32).tobytes(), (s >> np.uint64(32)).astype(np.uint8).tobytes(), at.astype(kind).tobytes(), own[some].tobytes(), np.minimum(spare[some], 65535).astype(np.uint16).tobytes()
 
     def flush():
-        for row in packed():
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in SENT.split(", ")])
-        ids.clear()
+        rows = list(packed())
+        tags.clear()
         sets.clear()
-
-    for pdf in batches:
-        for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            s = shingles(text)
-            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            if not len(s) or key in seen or pd.isna(i):
-                continue
-            seen.add(key)
-            ids.append(int(i))
-            sets.append(s)
-            size += len(s)
-            if size > FLUSH:
-                yield from flush()
-                size = 0
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+
+    for _, s, key in _sets(batches):
+        if key in seen:
+            continue
+        seen.add(key)
+        tags.append(tag(key))
+        sets.append(s)
+        size += len(s)
+        if size > FLUSH:
+            yield flush()
+            size = 0
     if sets:
-        yield from flush()
+        yield flush()
 
 
-def _groups(batches):
-    """Of a bucket's signatures: candidate pairs (a, b), and the members (group, a, parity, spare) of large groups."""
-    low, high, doc, spare = [], [], [], []
+def _groups(batches, buckets: int, frequent: np.ndarray):
+    """Of a bucket's signatures those of two classes or more: packed by class, with the classes' number."""
+    cols: dict[bool, list] = {False: [], True: []}
     for pdf in batches:
         for r in pdf.itertuples():
-            n = len(r.low) // 4
-            ids = np.frombuffer(r.ids, np.int64)
-            at = np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * n else np.uint32)
-            low.append(np.frombuffer(r.low, np.uint32).astype(np.uint64) | np.frombuffer(r.high, np.uint8).astype(np.uint64) << np.uint64(32) | np.uint64(r.bucket) << np.uint64(40))
-            doc.append(ids[at])
-            spare.append(np.frombuffer(r.spare, np.uint16).reshape(-1, 2)[at])
-    if not low:
+            n, tags = len(r.low) // 4, np.frombuffer(r.tags, np.int64)
+            at = np.frombuffer(r.at, np.uint16 if len(r.at) == 2 * n else np.uint32)
+            sig = np.frombuffer(r.low, np.uint32).astype(np.uint64)
+            if not r.frequent:
+                sig |= np.frombuffer(r.high, np.uint8).astype(np.uint64) << np.uint64(32) | np.uint64(r.bucket) << np.uint64(40)
+            parity = (frequent[sig.astype(np.int64)] if r.frequent else sig) & np.uint64(1)
+            cols[r.frequent].append((sig, tags[at], np.frombuffer(r.spare, np.uint16).reshape(-1, 2)[at, parity.astype(np.int64)]))
+    for often, held in cols.items():
+        if not held:
+            continue
+        sig, tags, spare = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((tags, sig))
+        sig, tags, spare = sig[order], tags[order], spare[order]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (tags[1:] != tags[:-1])])
+        sig, tags, spare = sig[fresh], tags[fresh], spare[fresh]
+        if often:
+            sig, size = short(frequent, buckets)[sig.astype(np.int64)], np.full(len(sig), _MOST)
+        else:
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            n = np.diff(np.append(start, len(sig)))
+            size = np.repeat(n, n)
+        some = size > 1
+        if not some.any():
+            continue
+        fact = np.empty(int(some.sum()), MEMBER)
+        fact["g"], fact["size"], fact["spare"] = sig[some], size[some], spare[some]
+        yield pack(tags[some], fact.view(np.uint8).reshape(len(fact), -1), buckets)
+
+
+MEMBER = np.dtype([("g", "<u8"), ("size", "<u4"), ("spare", "<u2")])
+
+
+def _retain(batches):
+    """Of each class the signatures that it may not leave out; often: how many these are."""
+    tags, fact = [], []
+    for pdf in batches:
+        for d, v in zip(pdf["doc"], pdf["value"], strict=True):
+            tags.append(np.frombuffer(d, np.int64))
+            fact.append(np.frombuffer(v, MEMBER))
+    if not tags:
         return
-    sig, doc, spare = np.concatenate(low), np.concatenate(doc), np.concatenate(spare)
-    order = np.lexsort((doc, sig))
-    sig, doc, spare = sig[order], doc[order], spare[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-    sig, doc, spare = sig[fresh], doc[fresh], spare[fresh]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(np.concatenate([start, [len(sig)]]))
-    start, size = start[size > 1], size[size > 1]
-    pairs = [np.zeros((0, 2), np.int64)]
-    for n in np.unique(size[size <= SMALL]):
-        rows = doc[start[size == n][:, None] + np.arange(n)]
-        pairs.append(np.concatenate([rows[:, c] for c in map(list, combinations(range(n), 2))]))
-    s, n = start[size > SMALL], size[size > SMALL]
-    if len(s):
-        own = np.repeat(np.arange(len(s)), n)
-        first = np.cumsum(n) - n
-        at = np.arange(n.sum()) - np.repeat(first, n) + s[own]
-        # Centres: the members that are in most large groups here. A text of which others are
-        # variants shares more with them than they do with each other.
-        _, back, often = np.unique(doc[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((doc[at], -often[back], own))
-        for centre in (order[first], order[first + 1]):
-            some = at != at[centre][own]
-            pairs.append(np.sort(np.column_stack([doc[at[centre]][own], doc[at]])[some], axis=1))
-        parity = (sig[at] & np.uint64(1)).astype(np.int64)
-        yield pd.DataFrame({"g": sig[at].astype(np.int64), "a": doc[at], "b": parity, "spare": spare[at, parity].astype(np.int32), "size": n[own].astype(np.int32)})
-    both = np.unique(np.concatenate(pairs), axis=0)
-    yield pd.DataFrame({"g": -1, "a": both[:, 0], "b": both[:, 1], "spare": 0, "size": 0}).astype({"g": "int64", "spare": "int32", "size": "int32"})
+    tags, fact = np.concatenate(tags), np.concatenate(fact)
+    g, size = fact["g"], fact["size"]
+    own = (g & np.uint64(1)).astype(np.int8)
+    order = np.lexsort((g, size, own, tags))
+    tags, own, g, spare = tags[order], own[order], g[order], fact["spare"][order]
+    start = np.flatnonzero(np.concatenate([[True], (tags[1:] != tags[:-1]) | (own[1:] != own[:-1])]))
+    n = np.diff(np.append(start, len(tags)))
+    stay = np.arange(len(tags)) - np.repeat(start, n) < np.repeat(n, n) - spare
+    tags, g = tags[stay], g[stay]
+    if len(tags):
+        _, back, often = np.unique(tags, return_inverse=True, return_counts=True)
+        yield pd.DataFrame({"g": g.astype(np.int64), "tag": tags, "often": often[back].astype(np.int32)})
+
+
+def frequent_signatures(spark: SparkSession, rows: DataFrame) -> np.ndarray:
+    """Sorted signatures that are in at least the share FREQUENT of a bounded sample of documents: their number is bounded by it."""
+    some = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+
+    def drawn(batches):
+        sets = [s for _, s, _ in _sets(batches)]
+        if sets:
+            sig, who, _ = signatures(sets)
+            sig, count = np.unique(np.unique(np.stack([sig, who.astype(np.uint64)], axis=1), axis=0)[:, 0], return_counts=True)
+            yield pd.DataFrame({"sig": sig.astype(np.int64), "n": count})
+
+    told = common.frames(rows.join(F.broadcast(some), "doc_id", "left_semi"), drawn, "sig long, n long")
+    found = told.groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(SAMPLE * FREQUENT))).select("sig").toPandas()
+    return np.sort(found["sig"].to_numpy(np.int64).view(np.uint64))
 
 
 def _describe(batches):
@@ -260,11 +324,11 @@ def _describe(batches):
         out = []
         for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             s = shingles(text)
-            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"-%d" % (-1 if pd.isna(i) else i)
-            out.append((len(s), key, bitmap(s) if len(s) else b""))
-        got = pd.DataFrame(out, columns=["n_shingles", "set_key", "bits"])
-        got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-        yield got.astype({"doc_id": "Int64"})
+            key = set_key(s) if len(s) and not pd.isna(i) else None
+            out.append((len(s), key, tag(key) if key else 0, bitmap(s) if key else None))
+        got = pd.DataFrame(out, columns=["n_shingles", "set_key", "tag", "bits"])
+        got.insert(0, "doc_id", pdf["doc_id"])
+        yield got
 
 
 def _sieve(batches):
@@ -273,9 +337,15 @@ def _sieve(batches):
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _sets(batches):
+def _read(batches):
+    """The sets of the classes asked for."""
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [shingles(t).tobytes() for t in pdf["text"]]})
+        out = []
+        for node, text, key in zip(pdf["node"], pdf["text"], pdf["set_key"], strict=True):
+            s = shingles(text)
+            if set_key(s) == key:  # else another text of the same id
+                out.append((node, s.tobytes()))
+        yield pd.DataFrame(out, columns=["node", "set"])
 
 
 def _verify(batches):
@@ -287,115 +357,135 @@ def _verify(batches):
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _check(spark: SparkSession, docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) of documents: the links between representatives of different sets."""
-    side = lambda c: info.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
-    told = pairs.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
-    told = told.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "na", "nb", "bits_a", "bits_b")
-    near = common.keep(spark, told.mapInPandas(_sieve, "a long, b long").distinct(), "candidates")
-    asked = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = common.keep(spark, common.texts(docs).join(asked, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
-    out = common.keep(spark, near.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify, "a long, b long"), "links")
-    common.forget(spark, near, sets)
-    return out
-
-
-PAIRS = "dest int, a binary, b binary"
-
+def _cross(batches):
+    """Pairs across components in a block pair that may link by size and bitmap."""
+    held: list[np.ndarray] = []
+    size = 0
 
-def _cross(batches, dests: int):
-    """Pairs of a group's members that lie in different components and may link by their bitmaps, packed by destination."""
-    out = [np.zeros((0, 2), np.int64)]
-    held = 0
-
-    def packed():
-        both = np.unique(np.concatenate(out), axis=0)
-        dest = (mix(both[:, 0].copy().view(np.uint64)) % np.uint64(dests)).astype(np.int64)
-        order = np.argsort(dest, kind="stable")
-        both, cut = both[order], np.searchsorted(dest[order], np.arange(dests + 1))
-        rows = [(k, both[cut[k] : cut[k + 1], 0].tobytes(), both[cut[k] : cut[k + 1], 1].tobytes()) for k in range(dests) if cut[k] < cut[k + 1]]
-        return pd.DataFrame(rows, columns=["dest", "a", "b"])
+    def pairs():
+        both = np.unique(np.concatenate(held), axis=0)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
     for pdf in batches:
-        for members in pdf["x"]:
-            m = np.array([r["m"] for r in members])
-            c = np.array([r["c"] for r in members])
-            x = np.array([r["n"] for r in members])
+        for i, j, members in zip(pdf["i"], pdf["j"], pdf["x"], strict=True):
+            node = np.array([r["node"] for r in members], np.int64)
+            c = np.array([r["c"] for r in members], np.int64)
+            n = np.array([r["n"] for r in members], np.int64)
+            block = np.array([r["block"] for r in members], np.int64)
             # Members of one instance: widths differ by a factor of two or four at most.
-            size = min(len(r["bits"]) for r in members)
-            bits = np.stack([_fold(r["bits"], size) for r in members]).view(np.uint64)
-            for k in range(len(m) - 1):
-                other = np.flatnonzero((c[k + 1 :] != c[k]) & (100 * np.minimum(x[k + 1 :], x[k]) >= 75 * np.maximum(x[k + 1 :], x[k]))) + k + 1
+            width = min(len(r["bits"]) for r in members)
+            bits = np.stack([_fold(r["bits"], width) for r in members]).view(np.uint64)
+            for k in range(len(node) - 1):
+                rest = slice(k + 1, None)
+                ok = (c[rest] != c[k]) & (100 * np.minimum(n[rest], n[k]) >= 75 * np.maximum(n[rest], n[k]))
+                if i != j:
+                    ok &= block[rest] != block[k]
+                other = np.flatnonzero(ok) + k + 1
+                if len(other):
+                    other = other[7 * np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64) <= n[other] + n[k]]
                 if len(other):
-                    near = 7 * np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64) <= x[other] + x[k]
-                    other = other[near]
-                    if len(other):
-                        out.append(np.column_stack([np.minimum(m[k], m[other]), np.maximum(m[k], m[other])]))
-                        held += len(other)
-                if held > FLUSH:
-                    yield packed()
-                    out, held = [np.zeros((0, 2), np.int64)], 0
+                    held.append(np.column_stack([np.minimum(node[k], node[other]), np.maximum(node[k], node[other])]))
+                    size += len(other)
+            if size > PAIRS:
+                yield pairs()
+                held, size = [], 0
     if held:
-        yield packed()
-
-
-def _distinct(batches):
-    both = [np.stack([np.frombuffer(x, np.int64) for x in (a, b)], axis=1) for pdf in batches for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-    if both:
-        both = np.unique(np.concatenate(both), axis=0)
-        yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-
-def _prepare(spark: SparkSession, docs: DataFrame):
-    """The documents described (kept), all rows with their representatives (kept), what is known of each id, and the signature groups (kept)."""
-    made = common.keep(spark, common.texts(docs).mapInPandas(_describe, "doc_id long, n_shingles long, set_key binary, bits binary"), "described")
-    reps = made.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # Every row; the bitmaps stay behind.
-    rows = common.keep(spark, made.select("doc_id", "n_shingles", "set_key").join(reps, "set_key").select("doc_id", "n_shingles", "rep"), "rows")
-    info = made.join(rows.select("doc_id", "rep").dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"])
-
-    n = common.partitions(spark)
-    grouped = common.keep(spark, common.texts(docs).mapInPandas(lambda it: _send(it, n), SENT).repartition(n, "bucket").mapInPandas(_groups, "g long, a long, b long, spare int, size int"), "groups")
-    return made, rows, info, grouped
-
-
-def _members(grouped: DataFrame, n: int) -> DataFrame:
-    """Of the large groups, g and m: the members that may have links there that they have in no other group.
-
-    Linked sets share more than `spare` signatures, so in one order of all signatures each set may leave out
-    its last `spare`: those of the largest groups. Who had no more than that in large groups is done.
-    """
-    members = grouped.filter("g <> -1").select("g", F.col("a").alias("m"), F.col("b").alias("parity"), "spare", "size").repartition(n, "m")
-    last = F.row_number().over(Window.partitionBy("m", "parity").orderBy(F.desc("size"), "g"))
-    return members.withColumn("last", last).filter("last > spare").select("g", "m")
+        yield pairs()
+
+
+class _Join:
+    """The tables of one join: rows described, classes, members of signature groups, sets of the classes in them."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame):
+        self.spark = spark
+        rows = common.texts(docs)
+        described = common.keep(spark, common.frames(rows, _describe, "doc_id long, n_shingles long, set_key binary, tag long, bits binary"), "described")
+        self.rows = described.select("doc_id", "n_shingles", "set_key")
+        classes = described.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("tag").alias("tag"), F.max("bits").alias("bits"))
+        self.classes = common.keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        n = common.buckets(spark, docs)
+        frequent = frequent_signatures(spark, rows)
+        sent = common.frames(rows, lambda it: _send(it, n, frequent), SENT).repartition(n, "bucket")
+        met = common.frames(sent, lambda it: _groups(it, n, frequent), "dest int, doc binary, value binary").repartition(n, "dest")
+        self.members = common.keep(spark, common.frames(met, _retain, "g long, tag long, often int"), "members")
+        asked = self.classes.join(self.members.select("tag").distinct(), "tag", "left_semi")
+        self.asked = common.keep(spark, asked, "asked")
+        wanted = self.asked.select(F.col("rep").alias("doc_id"), "node", "set_key")
+        self.sets = common.keep(spark, common.frames(rows.join(wanted, "doc_id"), _read, "node long, set binary").dropDuplicates(["node"]), "sets")
+        self.kept = [described, self.classes, self.members, self.asked, self.sets]
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b) of classes: the links."""
+        side = lambda c: self.sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+        out = common.keep(self.spark, common.frames(near.join(side("b"), "b").join(side("a"), "a"), _verify, "a long, b long"), "links")
+        self.kept.append(out)
+        return out
+
+    def central(self) -> DataFrame:
+        """Links of each group's central class: the one in most groups. A text of which others are
+        variants shares more with them than they do with each other."""
+        centre = common.keep(self.spark, self.members.groupBy("g").agg(F.max(F.struct("often", "tag"))["tag"].alias("centre")), "centres")
+        pairs = self.members.join(centre, "g").filter("tag <> centre").select(F.least("tag", "centre").alias("ta"), F.greatest("tag", "centre").alias("tb")).distinct()
+        side = lambda c: self.asked.select(F.col("tag").alias(f"t{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+        told = pairs.join(side("a"), "ta").join(side("b"), "tb").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
+        near = common.keep(self.spark, common.frames(told.select("a", "b", "na", "nb", "bits_a", "bits_b"), _sieve, "a long, b long"), "candidates")
+        out = self.verified(near)
+        common.forget(self.spark, centre, near)
+        return out
+
+    def across(self, component: DataFrame | None) -> DataFrame:
+        """Links between classes of different components (node, component) that share a group; None: each class is one."""
+        label = self.asked.select("tag", "node", "n", "bits")
+        if component is None:
+            label = label.withColumn("c", F.col("node"))
+        else:
+            label = label.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        label = common.keep(self.spark, label, "labels")
+        told = common.keep(self.spark, self.members.join(label.select("tag", "node", "c"), "tag").select("g", "node", "c"), "told")
+        mixed = told.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most")
+        blocks = F.ceil(F.col("size") / BLOCK)
+        mixed = common.keep(self.spark, mixed.select("g", blocks.alias("blocks")), "mixed")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        apart = told.join(mixed, "g").select("g", "node", "blocks", own.alias("block"))
+        apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        apart = apart.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+        apart = apart.join(label.select("node", "c", "n", "bits"), "node")
+        met = apart.groupBy("g", "i", "j").agg(F.collect_list(F.struct("node", "c", "n", "block", "bits")).alias("x")).select("i", "j", "x")  # 2 * BLOCK members, about
+        near = common.keep(self.spark, common.frames(met, _cross, "a long, b long").distinct(), "candidates")
+        out = self.verified(near)
+        common.forget(self.spark, near, told, mixed, label)
+        return out
+
+    def done(self, *but: DataFrame) -> None:
+        common.forget(self.spark, *[x for x in self.kept if x._lodestone_path not in {b._lodestone_path for b in but}])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
 
     A null or empty text has no shingles and is alone; a text of fewer than five words has one
-    shingle, its whole word sequence; equal texts link; rows that repeat an id count as one
-    document, described by any one of their texts if these differ; a null id is linked with
-    nothing; other columns are ignored.
+    shingle, its whole word sequence; equal texts link; rows that repeat an id are documents of their
+    own, which share nothing but the id unless their texts link; a null id is linked with nothing
+    and its component is null; texts of any length are taken whole; an empty table yields an empty
+    result; other columns are ignored.
     """
-    made, rows, info, grouped = _prepare(spark, docs)
-    n = common.partitions(spark)
-    first = _check(spark, docs, info, grouped.filter("g = -1").select("a", "b").distinct())
+    join = _Join(spark, docs)
+    first = join.central()
     comp = common.keep(spark, graph.components(spark, first), "components")
-
-    # Second round: sets with too many signatures in large groups, still apart.
-    members = _members(grouped, n)
-    where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("m", "n", "bits", F.coalesce("component", "rep").alias("c"))
-    apart = members.join(where.select("m", "c"), "m").groupBy("g").agg(F.collect_list("m").alias("ms"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", F.explode("ms").alias("m"))
-    apart = apart.join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
-    more = common.keep(spark, apart.mapInPandas(lambda it: _cross(it, n), PAIRS).repartition(n, "dest").mapInPandas(_distinct, "a long, b long"), "second")
-    if not more.isEmpty():
-        second = _check(spark, docs, info, more)
+    second = join.across(comp)
+    if not second.isEmpty():
+        common.forget(spark, comp)
         comp = common.keep(spark, graph.components(spark, first.unionByName(second)), "components")
-        common.forget(spark, second)
-    common.forget(spark, grouped, made, first, more)
-    return rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # Only classes with a link are in `comp`; the others are their own component.
+    linked = join.classes.select("node", "set_key", "rep").join(comp, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(least, "component").select("set_key", "component_id")
+    all_of = join.classes.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    all_of = common.keep(spark, all_of, "class-components")  # a table: the next join may then split a large class
+    common.forget(spark, comp)
+    join.done(join.kept[0])
+    some = join.rows.filter("set_key IS NOT NULL").join(all_of, "set_key").select("doc_id", "n_shingles", "component_id")
+    return some.unionByName(join.rows.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -403,20 +493,19 @@ def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
 
     Membership, per row of ``docs``: doc_id, n_shingles, class_id (the least id with the same set of
     shingles; its members are linked), n_links (other classes that this one is linked with).
-    Links: a, b, class ids, a < b, each pair once.  Their number grows with the square of a near-copy group.
+    Links: a, b, class ids, each pair of classes once.  Their number grows with the square of a near-copy group.
     A null id has a null class and no links; otherwise as in :func:`near_duplicates`.
     """
-    made, rows, info, grouped = _prepare(spark, docs)
-    n = common.partitions(spark)
-    where = info.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n"), "bits", F.col("rep").alias("c"))
-    large = _members(grouped, n).join(where, "m").groupBy("g").agg(F.collect_list(F.struct("m", "c", "n", "bits")).alias("x"))
-    more = large.mapInPandas(lambda it: _cross(it, n), PAIRS).repartition(n, "dest").mapInPandas(_distinct, "a long, b long")
-    links = _check(spark, docs, info, grouped.filter("g = -1").select("a", "b").unionByName(more).distinct())
-    counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("class_id"))
-    membership = classes.join(counts, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    common.forget(spark, grouped, made)
-    return membership, links
+    join = _Join(spark, docs)
+    found = join.across(None)
+    counts = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = common.keep(spark, join.classes.select("node", "set_key", F.col("rep").alias("class_id")).join(counts, "node", "left").select("node", "set_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("class_id").alias(f"class_{c}"))
+    links = found.join(side("a"), "a").join(side("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+    some = join.rows.filter("set_key IS NOT NULL").join(classes, "set_key").select("doc_id", "n_shingles", "class_id", "n_links")
+    alone = join.rows.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    join.done(join.kept[0], found)
+    return some.unionByName(alone), links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Which keys of a corpus occur more than once: shared by the two operators on repeated passages.
+"""What the two operators on repeated passages share: documents, copies, facts that travel packed.
 
-Keys (64-bit hashes of short strings at chosen places) travel as packed columns, one row per
-task and bucket.  This first look only selects: of a key 40 bits and the bucket are sent, so a
-few keys may be taken for repeated that aren't; what it selects is compared afterwards.
+A document is a pair of its id and a mark, 64 bits of its text: rows that repeat an id with
+another text are documents of their own, in the order of their marks.  Rows that repeat
+both are one document.
 
-Of documents with the same digest only the one with the smallest id takes part: everything in
-the others occurs in it too.
+Of documents with the same digest only the first takes part: everything in the others occurs in it
+too (see :func:`copies`).
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys a task holds before it sends them off.
-FLUSH = 4_000_000
-SENT = "bucket int, low binary, high binary, doc binary, ids binary, digests binary"
-_LOW = np.uint64((1 << 40) - 1)
+from . import common
+
+#: Documents of a bounded sample, from which an operator tells how to deal rows.
+SAMPLE = 2000
+DOC = np.dtype([("id", "<i8"), ("mark", "<i8")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,47 +29,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """What is sent of a key: its bucket and 40 bits."""
-    return ((keys >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | (keys & _LOW)
-
-
-def send(batches, keys_of, buckets: int):
-    """keys_of: from a document's bytes to its keys and the bytes that say when two documents are the same."""
-    ids, digests, keys, size = [], [], [], 0
-
-    def flush():
-        counts = [len(k) for k in keys]
-        all_keys = short(np.concatenate(keys), buckets)
-        who = np.repeat(np.arange(len(ids)), counts)
-        bucket = (all_keys >> np.uint64(40)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        all_keys, who = all_keys[order], who[order]
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        all_ids, all_digests = np.array(ids, np.int64), np.array(digests, np.uint64)
-        for b in range(buckets):
-            k, w = all_keys[cut[b] : cut[b + 1]], who[cut[b] : cut[b + 1]]
-            if len(k):
-                some, at = np.unique(w, return_inverse=True)
-                kind = np.uint16 if len(some) < 1 << 16 else np.uint32
-                row = (b, k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes(), at.astype(kind).tobytes(), all_ids[some].tobytes(), all_digests[some].tobytes())
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in SENT.split(", ")])
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text of the rows of ``docs``."""
+    return common.texts(docs).withColumn("mark", F.xxhash64("text"))
+
+
+def mark(raw: bytes) -> int:
+    """The mark of a text, as Spark's xxhash64 has it."""
+    m = xxhash.xxh64_intdigest(raw, 42)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def docs_of(pairs) -> np.ndarray:
+    return np.array(pairs, DOC) if len(pairs) else np.zeros(0, DOC)
 
-    for pdf in batches:
-        for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            if pd.isna(i):
-                continue
-            own, same = keys_of(text.encode())
-            if len(own):
-                ids.append(int(i))
-                digests.append(xxhash.xxh3_64_intdigest(same))
-                keys.append(own)
-                size += len(own)
-                if size > FLUSH:
-                    yield from flush()
-                    ids, digests, keys, size = [], [], [], 0
-    if keys:
-        yield from flush()
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where, in sorted columns, a new value begins."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """The rows of at most SAMPLE documents, those whose ids have the smallest hashes."""
+    some = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    return rows.join(F.broadcast(some), "doc_id", "left_semi")
 
 
 PACKED = "dest int, doc binary, value binary"
@@ -76,11 +65,12 @@ PACKED = "dest int, doc binary, value binary"
 
 def pack(doc: np.ndarray, values: np.ndarray, dests: int) -> pd.DataFrame:
     """Facts about documents (a row of ``values`` each) by destination: a row per destination, not per document."""
-    dest = (mix(doc.view(np.uint64)) % np.uint64(dests)).astype(np.int64)
-    order = np.lexsort((doc, dest))
+    key = doc["id"] ^ doc["mark"] if doc.dtype == DOC else doc
+    dest = (mix(key.view(np.uint64)) % np.uint64(dests)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
     doc, values, dest = doc[order], values[order], dest[order]
-    cut = np.searchsorted(dest, np.arange(dests + 1))
-    rows = [(k, doc[cut[k] : cut[k + 1]].tobytes(), values[cut[k] : cut[k + 1]].tobytes()) for k in range(dests) if cut[k] < cut[k + 1]]
+    start = np.flatnonzero(runs(dest))
+    rows = [(int(dest[a]), doc[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(start, np.append(start[1:], len(dest)), strict=True)]
     return pd.DataFrame(rows, columns=["dest", "doc", "value"])
 
 
@@ -88,67 +78,31 @@ def _unpack(batches):
     doc, value = [], []
     for pdf in batches:
         for d, v in zip(pdf["doc"], pdf["value"], strict=True):
-            own = np.frombuffer(d, np.int64)
+            own = np.frombuffer(d, DOC)
             doc.append(own)
             value.append(np.frombuffer(v, np.uint8).reshape(len(own), -1))
     if doc:
         doc, value = np.concatenate(doc), np.concatenate(value)
-        order = np.argsort(doc, kind="stable")
+        order = np.lexsort((doc["mark"], doc["id"]))
         doc, value = doc[order], value[order]
-        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        start = np.flatnonzero(runs(doc["id"], doc["mark"]))
         stop = np.append(start, len(doc))[1:]
-        yield pd.DataFrame({"doc_id": doc[start], "found": [value[a:b].tobytes() for a, b in zip(start, stop, strict=True)]})
+        yield pd.DataFrame({"doc_id": doc["id"][start], "mark": doc["mark"][start], "found": [value[a:b].tobytes() for a, b in zip(start, stop, strict=True)]})
 
 
 def gathered(packed: DataFrame, dests: int) -> DataFrame:
-    """doc_id and found: all facts about a document in one row."""
-    return packed.repartition(dests, "dest").mapInPandas(_unpack, "doc_id long, found binary")
+    """doc_id, mark and found: all facts about a document in one row."""
+    return common.frames(packed.repartition(dests, "dest"), _unpack, "doc_id long, mark long, found binary")
 
 
-def _repeated(batches, dests: int):
-    key, doc, digest = [], [], []
-    for pdf in batches:
-        for r in pdf.itertuples():
-            n, ids, own = len(r.low) // 4, np.frombuffer(r.ids, np.int64), np.frombuffer(r.digests, np.uint64)
-            at = np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * n else np.uint32)
-            key.append(np.frombuffer(r.low, np.uint32).astype(np.uint64) | np.frombuffer(r.high, np.uint8).astype(np.uint64) << np.uint64(32) | np.uint64(r.bucket) << np.uint64(40))
-            doc.append(ids[at])
-            digest.append(own[at])
-    if not key:
-        return
-    key, doc, digest = np.concatenate(key), np.concatenate(doc), np.concatenate(digest)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    again = np.concatenate([[False], key[1:] == key[:-1]])
-    again[:-1] |= again[1:]
-    key, doc, digest = key[again], doc[order[again]], digest[order[again]]
-    order = np.lexsort((doc, digest, key))
-    key, doc, digest = key[order], doc[order], digest[order]
-    if not len(key):
-        return
-    run = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
-    first = doc[np.flatnonzero(run)][np.cumsum(run) - 1]
-    key, doc = key[doc == first], doc[doc == first]
-    again = np.concatenate([[False], key[1:] == key[:-1]])
-    again[:-1] |= again[1:]
-    yield pack(doc[again], key[again], dests)
-
-
-def repeated(spark: SparkSession, docs: DataFrame, keys_of, buckets: int) -> DataFrame:
-    """doc_id and found (short keys as uint64) of keys that occur twice or more."""
-    sent = docs.mapInPandas(lambda it: send(it, keys_of, buckets), SENT)
-    return gathered(sent.repartition(buckets, "bucket").mapInPandas(lambda it: _repeated(it, buckets), PACKED), buckets)
-
-
-def with_found(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """doc_id, text, found (all of a document's, as an array)."""
-    return docs.join(found.groupBy("doc_id").agg(F.collect_list("found").alias("found")), "doc_id", how)
-
-
-def copies(docs: DataFrame, normal=lambda c: c) -> DataFrame:
-    """Ids of documents whose text (in its normal form) also has a smaller id."""
-    told = docs.filter("doc_id IS NOT NULL").select("doc_id", F.sha2(normal(F.col("text")), 256).alias("sha"))
-    first = told.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return told.join(first, "sha").filter("doc_id > first").select("doc_id").distinct()
-
+def copies(spark: SparkSession, told: DataFrame) -> DataFrame:
+    """doc_id, mark of those of ``told`` (doc_id, mark, digest) whose digest an earlier document has (kept).
 
+    ``told`` and the digests' first documents are tables, so that the join may split a hot digest.
+    """
+    own = F.struct("doc_id", "mark")
+    first = told.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first < last").select("digest", "first")
+    first = common.keep(spark, first, "first")
+    out = common.keep(spark, told.join(first, "digest").filter(own > F.col("first")).select("doc_id", "mark").distinct(), "copies")
+    common.forget(spark, first)
+    return out

@@ -80,7 +80,7 @@ def test_against_brute_force(spark):
 
 
 def test_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(jj, "SMALL", 2)
+    monkeypatch.setattr(jj, "BLOCK", 4)
     rows = corpus(2, 120)
     rng = random.Random(9)
     base = [f"q{k}" for k in range(80)]
