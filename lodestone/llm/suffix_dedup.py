@@ -1,17 +1,21 @@
 """Repeated 100-byte strings, found from a sampled suffix array.
 
-Of every 100-byte window the 40-byte string with the smallest hash (the leftmost of equals)
+Of every 100-byte window the 32-byte string with the smallest hash (the leftmost of equals)
 is the window's anchor: equal windows have their anchor at the same place, so it is enough
-to look at suffixes that begin at anchors, about one in thirty bytes.  Anchors whose
-string occurs only once are left out (a first look, see ``repeats``).
+to sort the suffixes that begin at anchors, about one in thirty-five bytes.
 
-The other anchors' suffixes, 100 bytes each at most, with the bytes before them that their windows
-need, are partitioned by range: splitters are leading strings of suffixes of a bounded
-sample of documents.  Equal leading strings always lie in one bucket, so no window is
-compared across a border; splitters only decide how even the buckets are.  A bucket is sorted
-by multikey quicksort on eight-byte digits, once by the suffixes and once by the reversed
-bytes before them; the common prefixes of neighbours then say, for each distance between a window's
-start and its anchor, which windows are equal, and the first in order of document and position stays.
+1. These suffixes, by their leading 32 bytes, are partitioned by range at sampled splitters.
+   A splitter that was drawn several times lies inside a run of equal suffixes: the run is dealt over
+   all buckets that it spans.  Buckets are sorted by multikey quicksort, so equal suffixes are
+   neighbours; each bucket's first and last suffix are compared with those of the buckets
+   beside it.  Only suffixes with an equal one go on.
+2. Their contexts (the 100 bytes from the anchor on and the bytes before it that their windows need) are
+   sorted the same way, once by the suffixes and once by the reversed bytes before them, equal contexts
+   of a task being folded.  The common prefixes of neighbours then say, for each distance between a
+   window's start and its anchor, which windows are equal; the first in order of document and position stays.
+
+Bytes are compared, not hashes.  Splitters come from a bounded sample of documents and only decide
+how even the buckets are.
 
 Defined results: see :func:`suffix_dedup`.
 """
@@ -27,18 +31,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, repeats
+from .repeats import DOC, runs
 
-SIZE, LEAD = 100, 40
+SIZE, LEAD = 100, 32
 #: Places of a leading string in a window, less one: the farthest an anchor is from a window's start.
 BACK = SIZE - LEAD
-#: Documents whose suffixes are drawn for splitters.
-SAMPLE = 500
+#: Suffixes of a sampled document that are drawn for splitters, at most.
+DRAWN = 32
 #: Bytes of a document looked at together.
 PIECE = 1 << 21
-#: Contexts a task holds before it sends them off.
-FLUSH = 300_000
+#: Suffixes and contexts a task holds before it sends them off.
+FLUSH, HELD = 1_000_000, 300_000
+#: Groups up to this size are put in order at once.
+SMALL = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A leading string with a last byte that isn't zero, as NumPy ignores zeros at the end.
+_KEY = f"S{LEAD + 1}"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -62,9 +71,9 @@ def _leading_hashes(b: np.ndarray) -> np.ndarray:
     return repeats.mix((total[LEAD:] - total[:-LEAD]) * down[: len(b) - LEAD + 1])
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's windows: the distinct anchors' places and hashes, and of each the first and last window start."""
-    at, keys, first, last = [], [], [], []
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's windows: the distinct anchors' places, and of each the first and last window start."""
+    at, first, last = [], [], []
     whole = np.frombuffer(raw, np.uint8)
     for begin in range(0, max(0, len(raw) - SIZE + 1), PIECE - SIZE + 1):
         b = whole[begin : begin + PIECE]
@@ -79,35 +88,60 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         place = (m & np.uint64((1 << 22) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         at.append(place[new] + begin)
-        keys.append(h[place[new]])
         first.append(new + begin)
         last.append(np.append(new[1:], len(place)) - 1 + begin)
     if not at:
-        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    at, keys, first, last = map(np.concatenate, (at, keys, first, last))
+        return (np.zeros(0, np.int64),) * 3
+    at, first, last = map(np.concatenate, (at, first, last))
     # An anchor whose windows lie on both sides of a piece border was found twice: one range of windows.
     new = np.concatenate([[True], at[1:] != at[:-1]])
-    return at[new], keys[new], first[new], last[np.append(new[1:], True)]
-
-
-def _keys(raw: bytes):
-    return anchors(raw)[1], raw
+    return at[new], first[new], last[np.append(new[1:], True)]
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of equally long byte rows: digits of eight bytes, going on only among equals."""
-    pad = -rows.shape[1] % 8
-    digits = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    order = np.argsort(digits[:, 0], kind="stable")
-    head = np.concatenate([[True], digits[order[1:], 0] != digits[order[:-1], 0]])
-    for k in range(1, digits.shape[1]):
-        group = np.cumsum(head)
-        equal = np.flatnonzero(~(head & np.append(head[1:], True)))  # in a group of two or more
-        if not len(equal):
+    """Order of equally long byte rows by multikey quicksort on digits of eight bytes.
+
+    Each round splits every open group in three around the median of three of its items, by the
+    digit at the group's depth; the middle part goes on with the next digit.  Small groups are put in order together.
+    """
+    digits = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))).view(">u8").astype(np.uint64)
+    n, most = digits.shape
+    order = np.arange(n)
+    start, size, depth = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64)
+    small = []
+    while True:
+        live = (size > 1) & (depth < most)
+        start, size, depth = start[live], size[live], depth[live]
+        few = size <= SMALL
+        small.append((start[few], size[few]))
+        start, size, depth = start[~few], size[~few], depth[~few]
+        if not len(start):
             break
-        own = order[equal]
-        order[equal] = own[np.lexsort((digits[own, k], group[equal]))]
-        head = head | np.concatenate([[True], digits[order[1:], k] != digits[order[:-1], k]])
+        own, base = np.repeat(np.arange(len(start)), size), np.cumsum(size) - size
+        inside = np.arange(len(own)) - base[own]
+        item = order[start[own] + inside]
+        key = digits[item, depth[own]]
+        three = order[start[:, None] + np.stack([np.zeros_like(size), size // 2, size - 1], axis=1)]
+        pivot = np.sort(digits[three, depth[:, None]], axis=1)[:, 1][own]
+        below, above = key < pivot, key > pivot
+        ranks, counts = [], []
+        for part in (below, above):
+            total = np.cumsum(part)
+            ranks.append(total - part - (total[base] - part[base])[own])
+            counts.append(np.add.reduceat(part.astype(np.int64), base))
+        low, high = counts
+        same = size - low - high
+        at = np.where(below, ranks[0], np.where(above, (low + same)[own] + ranks[1], low[own] + inside - ranks[0] - ranks[1]))
+        order[start[own] + at] = item
+        start, size, depth = np.concatenate([start, start + low, start + low + same]), np.concatenate([low, same, high]), np.concatenate([depth, depth + 1, depth])
+    start, size = (np.concatenate(x) for x in zip(*small, strict=True))
+    if len(start):
+        by = np.argsort(start)
+        start, size = start[by], size[by]
+        own, base = np.repeat(np.arange(len(start)), size), np.cumsum(size) - size
+        place = start[own] + np.arange(len(own)) - base[own]
+        item = order[place]
+        order[place] = item[np.lexsort([*digits[item].T[::-1], own])]
     return order
 
 
@@ -156,20 +190,128 @@ def spans(later: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return item, place[item] - far + 1, place[item] - near + SIZE
 
 
+SUFFIX = "bucket int, lead binary, place binary, at binary, docs binary"
+
+
+def _deal(lead: np.ndarray, marks: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The bucket of each leading string; equal ones at a splitter are dealt over the buckets that it borders, by document."""
+    low, high = np.searchsorted(cuts, lead, "left"), np.searchsorted(cuts, lead, "right")
+    return low + (repeats.mix(marks.view(np.uint64)) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+
+
+def _leads(raw: bytes, place: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)[place[:, None] + np.arange(LEAD)]
+
+
+def _as_keys(lead: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(lead, ((0, 0), (0, 1)), constant_values=1)).view(_KEY).ravel()
+
+
+def _suffixes(batches, cuts: np.ndarray):
+    """The suffixes at anchors by range; of equal texts the first document of a task."""
+    docs: list[tuple[int, int]] = []
+    leads: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    seen: dict[int, int] = {}
+    size = 0
+
+    def flush():
+        own, who = repeats.docs_of(docs), np.repeat(np.arange(len(docs)), [len(x) for x in places])
+        lead, place = np.concatenate(leads), np.concatenate(places).astype(np.uint32)
+        bucket = _deal(_as_keys(lead), own["mark"][who], cuts)
+        order = np.argsort(bucket, kind="stable")
+        lead, place, who, bucket = lead[order], place[order], who[order], bucket[order]
+        start = np.flatnonzero(runs(bucket))
+        rows = []
+        for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+            some, at = np.unique(who[a:b], return_inverse=True)
+            kind = np.uint16 if len(some) < 1 << 16 else np.uint32
+            rows.append((int(bucket[a]), lead[a:b].tobytes(), place[a:b].tobytes(), at.astype(kind).tobytes(), own[some].tobytes()))
+        for x in (docs, leads, places, seen):
+            x.clear()
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SUFFIX.split(", ")])
+
+    for pdf in batches:
+        for i, m, text in zip(pdf["doc_id"], pdf["mark"], pdf["text"], strict=True):
+            if pd.isna(i) or len(text) * 4 < SIZE:
+                continue
+            if (at := seen.get(m)) is not None:
+                docs[at] = min(docs[at], (i, m))
+                continue
+            raw = text.encode()
+            place = anchors(raw)[0]
+            if len(place):
+                seen[m] = len(docs)
+                docs.append((i, m))
+                leads.append(_leads(raw, place))
+                places.append(place)
+                size += len(place)
+            if size > FLUSH:
+                yield flush()
+                size = 0
+    if docs:
+        yield flush()
+
+
+RUNS = "dest int, doc binary, value binary, edge binary"
+
+
+def _repeated(batches, dests: int):
+    """Places of suffixes that have an equal neighbour, by document; and, with its leading string as edge, the
+    bucket's first and last run: the place of a single suffix, nothing of a longer one."""
+    lead, place, doc = [], [], []
+    for pdf in batches:
+        for r in pdf.itertuples():
+            n = len(r.place) // 4
+            lead.append(np.frombuffer(r.lead, np.uint8).reshape(n, LEAD))
+            place.append(np.frombuffer(r.place, np.uint32))
+            doc.append(np.frombuffer(r.docs, DOC)[np.frombuffer(r.at, np.uint16 if len(r.at) == 2 * n else np.uint32)])
+    if not lead:
+        return
+    lead, place, doc = map(np.concatenate, (lead, place, doc))
+    order = multikey_order(lead)
+    new = np.concatenate([[True], (lead[order[1:]] != lead[order[:-1]]).any(axis=1)])
+    run = np.cumsum(new)
+    n = np.diff(np.append(np.flatnonzero(new), len(new)))
+    # Of equal texts in a run the first document; a run of one document's single place then has no equal.
+    some = np.flatnonzero((n > 1)[run - 1])
+    place, doc = place[order], doc[order]
+    inner = some[np.lexsort((place[some], doc["id"][some], doc["mark"][some], run[some]))]
+    first = np.flatnonzero(runs(run[inner], doc["mark"][inner]))
+    stay = doc["id"][inner] == np.repeat(doc["id"][inner[first]], np.diff(np.append(first, len(inner))))
+    inner = inner[stay]
+    left = np.bincount(run[inner], minlength=len(n) + 1)[1:]
+    found = inner[left[run[inner] - 1] > 1]
+    if len(found):
+        yield repeats.pack(doc[found], place[found], dests).assign(edge=None)
+    for k in sorted({0, len(n) - 1}):
+        own = inner[run[inner] == k + 1] if n[k] > 1 else np.flatnonzero(run == k + 1)
+        edge = lead[order[np.flatnonzero(new)[k]]].tobytes()
+        if len(own) == 1:
+            yield repeats.pack(doc[own], place[own], dests).assign(edge=edge)
+        else:
+            yield pd.DataFrame([(-1, b"", b"", edge)], columns=["dest", "doc", "value", "edge"])
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """The places found in buckets, and those of single edges that an other bucket has too (two rows a bucket at most)."""
+    edges = found.filter("edge IS NOT NULL")
+    both = edges.groupBy("edge").count().filter("count > 1").select("edge")
+    return found.filter("edge IS NULL").drop("edge").unionByName(edges.filter("dest >= 0").join(both, "edge", "left_semi").drop("edge"))
+
+
 def _in_order(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """By document and place, each once (a document may come in several rows)."""
-    order = np.lexsort((place, doc))
-    new = (doc[order[1:]] != doc[order[:-1]]) | (place[order[1:]] != place[order[:-1]])
-    return order[np.concatenate([[True], new])]
+    order = np.lexsort((place, doc["mark"], doc["id"]))
+    return order[runs(doc["id"][order], doc["mark"][order], place[order])]
 
 
 CONTEXT = "bucket int, n int, right binary, left binary, low binary, high binary, doc binary, place binary"
 _COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
 
 
-def _contexts(batches, buckets: int, splitters: list[bytes]):
+def _contexts(batches, cuts: np.ndarray):
     """Contexts of repeated anchors by range of their suffix; equal ones of a task only once, their repeats as spans (bucket -1)."""
-    cuts = np.array(splitters, f"S{LEAD}") if splitters else np.zeros(0, f"S{LEAD}")
     held: list[tuple] = []
     size = 0
 
@@ -186,14 +328,13 @@ def _contexts(batches, buckets: int, splitters: list[bytes]):
             repeated = np.stack([place[rest] - high[rest], place[rest] - low[rest] + SIZE], axis=1)
             yield -1, int(rest.sum()), repeated.tobytes(), b"", b"", b"", doc[rest].tobytes(), b""
         one.sort()
-        lead = np.ascontiguousarray(right[one, :LEAD]).view(f"S{LEAD}").ravel()
-        bucket = np.searchsorted(cuts, lead, "right")
+        bucket = np.searchsorted(cuts, _as_keys(right[one, :LEAD]), "right")
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            at = one[order[cut[k] : cut[k + 1]]]
-            if len(at):
-                yield (k, len(at), right[at].tobytes(), left[at].tobytes(), low[at].astype(np.uint8).tobytes(), high[at].astype(np.uint8).tobytes(), doc[at].tobytes(), place[at].tobytes())
+        one, bucket = one[order], bucket[order]
+        start = np.flatnonzero(runs(bucket))
+        for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+            at = one[a:b]
+            yield (int(bucket[a]), len(at), right[at].tobytes(), left[at].tobytes(), low[at].astype(np.uint8).tobytes(), high[at].astype(np.uint8).tobytes(), doc[at].tobytes(), place[at].tobytes())
         held.clear()
 
     def rows():
@@ -201,10 +342,10 @@ def _contexts(batches, buckets: int, splitters: list[bytes]):
             yield pd.DataFrame([row], columns=_COLUMNS)
 
     for pdf in batches:
-        for i, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"], strict=True):
+        for i, m, text, found in zip(pdf["doc_id"], pdf["mark"], pdf["text"], pdf["found"], strict=True):
             raw = text.encode()
-            place, keys, first, last = anchors(raw)
-            hit = np.isin(repeats.short(keys, buckets), np.frombuffer(b"".join(found), np.uint64))
+            place, first, last = anchors(raw)
+            hit = np.isin(place, np.frombuffer(found, np.uint32))
             place, first, last = place[hit], first[hit], last[hit]
             if not len(place):
                 continue
@@ -215,9 +356,9 @@ def _contexts(batches, buckets: int, splitters: list[bytes]):
             # Bytes outside the anchor's windows would tell equal ones apart.
             right[np.arange(SIZE) >= (SIZE - low)[:, None]] = 0
             left[np.arange(BACK) >= high[:, None]] = 0
-            held.append((right, left, low, high, np.full(len(place), i, np.int64), place))
+            held.append((right, left, low, high, repeats.docs_of([(i, m)] * len(place)), place))
             size += len(place)
-            if size > FLUSH:
+            if size > HELD:
                 yield from rows()
                 size = 0
     if held:
@@ -230,9 +371,9 @@ def _compare(batches, dests: int):
     for pdf in batches:
         for r in pdf.itertuples():
             if r.bucket < 0:
-                yield repeats.pack(np.frombuffer(r.doc, np.int64), np.frombuffer(r.right, np.int64).reshape(-1, 2), dests)
+                yield repeats.pack(np.frombuffer(r.doc, DOC), np.frombuffer(r.right, np.int64).reshape(-1, 2), dests)
                 continue
-            for col, value in zip(cols, (np.frombuffer(r.right, np.uint8).reshape(-1, SIZE), np.frombuffer(r.left, np.uint8).reshape(-1, BACK), np.frombuffer(r.low, np.uint8), np.frombuffer(r.high, np.uint8), np.frombuffer(r.doc, np.int64), np.frombuffer(r.place, np.int64)), strict=True):
+            for col, value in zip(cols, (np.frombuffer(r.right, np.uint8).reshape(-1, SIZE), np.frombuffer(r.left, np.uint8).reshape(-1, BACK), np.frombuffer(r.low, np.uint8), np.frombuffer(r.high, np.uint8), np.frombuffer(r.doc, DOC), np.frombuffer(r.place, np.int64)), strict=True):
                 col.append(value)
     if not cols[0]:
         return
@@ -240,12 +381,12 @@ def _compare(batches, dests: int):
     order = _in_order(doc, place)
     right, left, low, high, doc, place = (x[order] for x in (right, left, low, high, doc, place))
     item, a, b = spans(later_windows(right, left, low.astype(np.int64), high.astype(np.int64)), place)
-    yield repeats.pack(doc[item], np.stack([a, b], axis=1), dests)
+    if len(item):
+        yield repeats.pack(doc[item], np.stack([a, b], axis=1), dests)
 
 
-def _splitters(rows: DataFrame, buckets: int) -> list[bytes]:
-    """Leading strings of suffixes of a bounded sample, evenly spaced."""
-    some = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+def _splitters(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Leading strings of suffixes of a bounded sample, evenly spaced; one that is drawn often is in it several times."""
 
     def lead(batches):
         for pdf in batches:
@@ -253,18 +394,19 @@ def _splitters(rows: DataFrame, buckets: int) -> list[bytes]:
             for text in pdf["text"]:
                 raw = text.encode()
                 at = anchors(raw)[0]
-                found += [raw[i : i + LEAD] for i in at[:: max(1, len(at) // 20)]]
+                found += [raw[i : i + LEAD] for i in at[:: -(-len(at) // DRAWN) or 1]]
             yield pd.DataFrame({"s": found})
 
-    drawn = sorted(r[0] for r in rows.join(F.broadcast(some), "doc_id", "left_semi").mapInPandas(lead, "s binary").collect())
-    return [bytes(drawn[len(drawn) * k // buckets]) for k in range(1, buckets)] if drawn else []
+    drawn = sorted(r[0] for r in common.frames(repeats.sampled(rows), lead, "s binary").collect())
+    cuts = [bytes(drawn[len(drawn) * k // buckets]) + b"\x01" for k in range(1, buckets)] if drawn else []
+    return np.array(cuts, _KEY)
 
 
 def merged(found, n: int) -> np.ndarray:
     """Maximal removed runs (first, end) of a text of n bytes."""
     if found is None or not len(found):
         return np.zeros((0, 2), np.int64)
-    s = np.clip(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), 0, n)
+    s = np.clip(np.frombuffer(found, np.int64).reshape(-1, 2), 0, n)
     s = s[s[:, 0] < s[:, 1]]
     s = s[np.argsort(s[:, 0], kind="stable")]
     if not len(s):
@@ -314,8 +456,10 @@ def _clean(batches):
 def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (which has doc_id, text, n_chars) with the repeated bytes cut out of the texts, up to
     whole characters, and n_chars set anew; a text that is wholly repeated becomes empty."""
-    found = spans_of(spark, common.texts(docs))
-    return repeats.with_found(docs, found, "left").mapInArrow(_clean, docs.schema)
+    found = spans_of(spark, repeats.marked(docs), common.buckets(spark, docs)).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    told = docs.join(found, (F.col("doc_id") == F.col("found_id")) & (own == F.col("found_mark")), "left").select(*docs.columns, "found")
+    return told.mapInArrow(_clean, docs.schema)
 
 
 def _remove(batches, digest: bool):
@@ -323,32 +467,39 @@ def _remove(batches, digest: bool):
         out = []
         for text, found in zip(pdf["text"], pdf["found"], strict=True):
             raw = text.encode()
-            runs = merged(found, len(raw))
-            kept = cut_out(raw, runs)
-            out.append((len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept))
+            cut = merged(found, len(raw))
+            kept = cut_out(raw, cut)
+            out.append((len(raw), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept).hexdigest() if digest else kept))
         got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
-        got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-        yield got.astype({"doc_id": "Int64"})
-
-
-def spans_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """doc_id and found, pairs of int64 (first, end) of repeated bytes; some rows per document or none."""
-    buckets = common.partitions(spark)
-    splitters = _splitters(rows, buckets)
-    known = common.keep(spark, repeats.repeated(spark, rows, _keys, buckets), "anchors")
-    contexts = repeats.with_found(rows, known, "inner").mapInPandas(lambda it: _contexts(it, buckets, splitters), CONTEXT)
+        got.insert(0, "doc_id", pdf["doc_id"])
+        yield got
+
+
+def spans_of(spark: SparkSession, rows: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, mark and found, pairs of int64 (first, end) of repeated bytes; one row per document or none (kept)."""
+    cuts = _splitters(rows, buckets)
+    told = common.keep(spark, rows.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= SIZE).select("doc_id", "mark", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    copies = repeats.copies(spark, told)
+    common.forget(spark, told)
+    sent = common.frames(rows, lambda it: _suffixes(it, cuts), SUFFIX).repartition(buckets, "bucket")
+    met = common.keep(spark, common.frames(sent, lambda it: _repeated(it, buckets), RUNS), "runs")
+    known = repeats.gathered(_across(met), buckets).join(copies, ["doc_id", "mark"], "left_anti")
+    known = common.keep(spark, known, "anchors")
+    common.forget(spark, met)
+    # Equal suffixes in one bucket: here their documents are compared.
+    contexts = common.frames(rows.join(known, ["doc_id", "mark"]), lambda it: _contexts(it, np.unique(cuts)), CONTEXT)
     apart = F.when(F.col("bucket") < 0, F.xxhash64("doc")).otherwise(F.col("bucket").cast("long"))
-    inside = repeats.gathered(contexts.repartition(buckets, apart).mapInPandas(lambda it: _compare(it, buckets), repeats.PACKED), buckets)
-    whole = repeats.copies(rows.filter(F.octet_length("text") >= SIZE)).withColumn("found", F.lit(np.array([0, 1 << 62], np.int64).tobytes()))
+    inside = repeats.gathered(common.frames(contexts.repartition(buckets, apart), lambda it: _compare(it, buckets), repeats.PACKED), buckets)
+    whole = copies.withColumn("found", F.lit(np.array([0, 1 << 62], np.int64).tobytes()))
     found = common.keep(spark, inside.unionByName(whole), "spans")
-    common.forget(spark, known)
+    common.forget(spark, known, copies)
     return found
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, found (all spans of a document, null where there are none)."""
-    rows = common.texts(docs)
-    return repeats.with_found(rows, spans_of(spark, rows), "left")
+    """doc_id, mark, text, found (all spans of a document, null where there are none)."""
+    rows = repeats.marked(docs)
+    return rows.join(spans_of(spark, rows, common.buckets(spark, docs)), ["doc_id", "mark"], "left")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -356,12 +507,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A byte goes if a 100-byte string over it also starts earlier, in a document with a smaller id or
     before it in the same document, judged on the input.  Shorter texts, null and empty ones lose nothing;
-    rows that repeat an id count as one document; rows with a null id neither lose bytes nor make
-    others lose them; other columns are ignored.
+    rows that repeat id and text count as one document, those that repeat only the id are documents
+    in the order of their texts' hashes; rows with a null id neither lose bytes nor make others lose them;
+    texts of any length are taken whole; an empty table yields an empty result; other columns are ignored.
     """
-    return marked(spark, docs).mapInPandas(lambda it: _remove(it, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return common.frames(marked(spark, docs), lambda it: _remove(it, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is taken in the workers."""
-    return marked(spark, common.table(spark, sf_dir, "documents")).mapInPandas(lambda it: _remove(it, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.frames(marked(spark, common.table(spark, sf_dir, "documents")), lambda it: _remove(it, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

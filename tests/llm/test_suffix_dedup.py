@@ -41,6 +41,8 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(sd, "FLUSH", 50)
+        monkeypatch.setattr(sd, "HELD", 50)
+        monkeypatch.setattr(sd.common, "buckets", lambda *_: 40)  # splitters inside runs, and runs over several buckets
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, found string, bucket int").repartition(3)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.suffix_dedup(spark, docs).collect()}
@@ -48,20 +50,35 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert got == want, [(i, got[i][:3], want[i][:3]) for i in want if got[i] != want[i]][:5]
 
 
-def test_multikey_order():
+@pytest.mark.parametrize("n", [0, 1, 2, 500, 5000])
+def test_multikey_order(n):
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 2, (500, 21)).astype(np.uint8)
+    rows = rng.integers(0, 2, (n, 21)).astype(np.uint8)
     rows[:, 3:15] = 7
+    rows[n // 2 :: 3] = 200
     order = sd.multikey_order(rows)
+    assert sorted(order) == list(range(n))
     assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
 
 
+def test_runs_over_several_buckets():
+    """Equal suffixes dealt to different buckets are found by comparing the buckets' edges."""
+    lead = b"q" * sd.LEAD
+    cuts = np.array([lead + b"\1"] * 3, sd._KEY)
+    marks = np.arange(50)
+    bucket = sd._deal(np.array([lead + b"\1"] * 50, sd._KEY), marks, cuts)
+    assert set(bucket) == {0, 1, 2, 3}
+    one = [sd._repeated([pd.DataFrame([(int(b), lead, np.array([7], np.uint32).tobytes(), np.zeros(1, np.uint16).tobytes(), sd.repeats.docs_of([(m, m)]).tobytes())], columns=[c.split()[0] for c in sd.SUFFIX.split(", ")])], 4) for b, m in ((1, 5), (2, 6))]
+    got = [pd.concat(list(x)) for x in one]
+    assert all(list(g["edge"]) == [lead] and np.frombuffer(g["value"].iloc[0], np.uint32).tolist() == [7] for g in got)
+
+
 def test_pieces(monkeypatch):
     rng = random.Random(2)
     raw = bytes(rng.randrange(97, 101) for _ in range(3000))
     whole = sd.anchors(raw)
     monkeypatch.setattr(sd, "PIECE", 400)
-    windows = lambda x: {(p, w) for p, f, e in zip(x[0], x[2], x[3], strict=True) for w in range(f, e + 1)}
+    windows = lambda x: {(p, w) for p, f, e in zip(*x, strict=True) for w in range(f, e + 1)}
     assert windows(sd.anchors(raw)) == windows(whole)
 
 
@@ -83,13 +100,13 @@ def test_piece_borders(spark, monkeypatch):
 
     monkeypatch.setattr(sd, "PIECE", 400)
     rows = [(i, t or "") for i, t in corpus(3) if len(t or "") < 3000]
-    pdf = pd.DataFrame([(i, t, [sd.repeats.short(sd.anchors(t.encode())[1], 1).tobytes()]) for i, t in rows], columns=["doc_id", "text", "found"])
-    packed = list(sd._compare(sd._contexts([pdf], 1, []), 1))
-    found = {i: [] for i, _ in rows}
+    pdf = pd.DataFrame([(i, 0, t, sd.anchors(t.encode())[0].astype(np.uint32).tobytes()) for i, t in rows], columns=["doc_id", "mark", "text", "found"])
+    packed = list(sd._compare(sd._contexts([pdf], np.array([], sd._KEY)), 1))
+    found = {i: b"" for i, _ in rows}
     for p in packed:
         for doc, value in zip(p["doc"], p["value"], strict=True):
-            for i, span in zip(np.frombuffer(doc, np.int64).tolist(), np.frombuffer(value, np.int64).reshape(-1, 2), strict=True):
-                found[i].append(span.tobytes())
+            for i, span in zip(np.frombuffer(doc, sd.DOC)["id"].tolist(), np.frombuffer(value, np.int64).reshape(-1, 2), strict=True):
+                found[i] += span.tobytes()
     want = brute(rows)
     for i, t in rows:
         runs = sd.merged(found[i], len(t.encode()))
