@@ -23,8 +23,9 @@ Documents with the same set are a class; a link is between classes.  Steps:
 3. In every group one central class, which is in most groups, is paired with the others.
    Candidates are compared by size, by parity bitmaps (folding a set into bits can only lower the
    number of differing elements, so no link is lost), then exactly.  Components follow.
-4. In groups that still hold more than one component, all pairs across components are looked
-   at, in blocks of bounded size, by size and bitmap before a pair is written.
+4. Of groups that still hold more than one component, all classes whose groups have the same centre are
+   compared across components, in blocks of bounded size, by size and bitmap before a pair is written: a pair
+   that shares many groups is mostly looked at once.
 
 Signatures that a bounded sample shows to be in one of a hundred documents are dealt by class
 too, so that none of them meets in one task; they count as the most frequent. The sample only
@@ -55,8 +56,8 @@ WORDS = 5
 FLUSH = 1_500_000
 #: Documents whose signatures tell which are frequent, and the share of them that counts as such.
 SAMPLE, FREQUENT = 2000, 0.01
-#: Members of a group that are compared in one block.
-BLOCK = 256
+#: Classes of one centre in a block, about; two blocks are compared at a time.
+BLOCK = 1024
 #: Pairs a task holds before it sends them off.
 PAIRS = 500_000
 _MOST = (1 << 31) - 1
@@ -99,8 +100,8 @@ def links(x: int, y: int, both: int) -> bool:
 
 
 def _width(n: int) -> int:
-    """Bits of a parity bitmap: a power of two, at least 64 and the size."""
-    return max(64, 1 << max(0, int(n - 1).bit_length()))
+    """Bits of a parity bitmap: a power of two, at least 64 and twice the size."""
+    return max(64, 2 << max(0, int(n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -325,10 +326,9 @@ def _describe(batches):
         for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             s = shingles(text)
             key = set_key(s) if len(s) and not pd.isna(i) else None
-            out.append((len(s), key, tag(key) if key else 0, bitmap(s) if key else None))
-        got = pd.DataFrame(out, columns=["n_shingles", "set_key", "tag", "bits"])
-        got.insert(0, "doc_id", pdf["doc_id"])
-        yield got
+            out.append((len(s), key, tag(key) if key else 0))
+        got = pd.DataFrame(out, columns=["n_shingles", "set_key", "tag"])
+        yield got.assign(doc_id=pdf["doc_id"], mark=pdf["mark"])
 
 
 def _sieve(batches):
@@ -338,14 +338,14 @@ def _sieve(batches):
 
 
 def _read(batches):
-    """The sets of the classes asked for."""
+    """The sets and bitmaps of the classes asked for."""
     for pdf in batches:
         out = []
-        for node, text, key in zip(pdf["node"], pdf["text"], pdf["set_key"], strict=True):
+        for node, own, text, key in zip(pdf["node"], pdf["tag"], pdf["text"], pdf["set_key"], strict=True):
             s = shingles(text)
             if set_key(s) == key:  # else another text of the same id
-                out.append((node, s.tobytes()))
-        yield pd.DataFrame(out, columns=["node", "set"])
+                out.append((node, own, len(s), bitmap(s), s.tobytes()))
+        yield pd.DataFrame(out, columns=["node", "tag", "n", "bits", "set"])
 
 
 def _verify(batches):
@@ -372,20 +372,22 @@ def _cross(batches):
             c = np.array([r["c"] for r in members], np.int64)
             n = np.array([r["n"] for r in members], np.int64)
             block = np.array([r["block"] for r in members], np.int64)
-            # Members of one instance: widths differ by a factor of two or four at most.
-            width = min(len(r["bits"]) for r in members)
-            bits = np.stack([_fold(r["bits"], width) for r in members]).view(np.uint64)
-            for k in range(len(node) - 1):
-                rest = slice(k + 1, None)
-                ok = (c[rest] != c[k]) & (100 * np.minimum(n[rest], n[k]) >= 75 * np.maximum(n[rest], n[k]))
-                if i != j:
-                    ok &= block[rest] != block[k]
-                other = np.flatnonzero(ok) + k + 1
-                if len(other):
-                    other = other[7 * np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64) <= n[other] + n[k]]
-                if len(other):
-                    held.append(np.column_stack([np.minimum(node[k], node[other]), np.maximum(node[k], node[other])]))
-                    size += len(other)
+            width = np.array([len(r["bits"]) for r in members])
+            for w in np.unique(width):  # of sizes that can link, the widths differ by a factor of two at most
+                rows = np.concatenate([np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)])
+                bits = np.stack([_fold(members[k]["bits"], w) for k in rows]).view(np.uint64)
+                for k, row in enumerate(rows[: int((width == w).sum())]):
+                    other = rows[k + 1 :]
+                    ok = (c[other] != c[row]) & (100 * np.minimum(n[other], n[row]) >= 75 * np.maximum(n[other], n[row]))
+                    if i != j:
+                        ok &= block[other] != block[row]
+                    some = np.flatnonzero(ok) + k + 1
+                    if len(some):
+                        some = some[7 * np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1, dtype=np.int64) <= n[rows[some]] + n[row]]
+                    if len(some):
+                        other = node[rows[some]]
+                        held.append(np.column_stack([np.minimum(node[row], other), np.maximum(node[row], other)]))
+                        size += len(some)
             if size > PAIRS:
                 yield pairs()
                 held, size = [], 0
@@ -399,20 +401,20 @@ class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.spark = spark
         rows = common.texts(docs)
-        described = common.keep(spark, common.frames(rows, _describe, "doc_id long, n_shingles long, set_key binary, tag long, bits binary"), "described")
-        self.rows = described.select("doc_id", "n_shingles", "set_key")
-        classes = described.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("tag").alias("tag"), F.max("bits").alias("bits"))
+        described = common.keep(spark, common.frames(rows.withColumn("mark", F.xxhash64("text")), _describe, "doc_id long, mark long, n_shingles long, set_key binary, tag long"), "described")
+        self.rows = described.select("doc_id", "mark", "n_shingles", "set_key")
+        classes = described.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("tag").alias("tag"))
         self.classes = common.keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         n = common.buckets(spark, docs)
         frequent = frequent_signatures(spark, rows)
         sent = common.frames(rows, lambda it: _send(it, n, frequent), SENT).repartition(n, "bucket")
         met = common.frames(sent, lambda it: _groups(it, n, frequent), "dest int, doc binary, value binary").repartition(n, "dest")
         self.members = common.keep(spark, common.frames(met, _retain, "g long, tag long, often int"), "members")
-        asked = self.classes.join(self.members.select("tag").distinct(), "tag", "left_semi")
-        self.asked = common.keep(spark, asked, "asked")
-        wanted = self.asked.select(F.col("rep").alias("doc_id"), "node", "set_key")
-        self.sets = common.keep(spark, common.frames(rows.join(wanted, "doc_id"), _read, "node long, set binary").dropDuplicates(["node"]), "sets")
-        self.kept = [described, self.classes, self.members, self.asked, self.sets]
+        wanted = self.classes.join(self.members.select("tag").distinct(), "tag", "left_semi").select(F.col("rep").alias("doc_id"), "node", "tag", "set_key")
+        read = common.frames(rows.join(wanted, "doc_id"), _read, "node long, tag long, n int, bits binary, set binary")
+        self.sets = common.keep(spark, read.dropDuplicates(["node"]), "sets")
+        self.centres = common.keep(spark, self.members.groupBy("g").agg(F.max(F.struct("often", "tag"))["tag"].alias("centre")), "centres")
+        self.kept = [described, self.classes, self.members, self.sets, self.centres]
 
     def verified(self, near: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) of classes: the links."""
@@ -424,50 +426,45 @@ class _Join:
     def central(self) -> DataFrame:
         """Links of each group's central class: the one in most groups. A text of which others are
         variants shares more with them than they do with each other."""
-        centre = common.keep(self.spark, self.members.groupBy("g").agg(F.max(F.struct("often", "tag"))["tag"].alias("centre")), "centres")
-        pairs = self.members.join(centre, "g").filter("tag <> centre").select(F.least("tag", "centre").alias("ta"), F.greatest("tag", "centre").alias("tb")).distinct()
-        side = lambda c: self.asked.select(F.col("tag").alias(f"t{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+        pairs = self.members.join(self.centres, "g").filter("tag <> centre").select(F.least("tag", "centre").alias("ta"), F.greatest("tag", "centre").alias("tb")).distinct()
+        side = lambda c: self.sets.select(F.col("tag").alias(f"t{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
         told = pairs.join(side("a"), "ta").join(side("b"), "tb").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
         near = common.keep(self.spark, common.frames(told.select("a", "b", "na", "nb", "bits_a", "bits_b"), _sieve, "a long, b long"), "candidates")
         out = self.verified(near)
-        common.forget(self.spark, centre, near)
+        common.forget(self.spark, near)
         return out
 
     def across(self, component: DataFrame | None) -> DataFrame:
         """Links between classes of different components (node, component) that share a group; None: each class is one."""
-        label = self.asked.select("tag", "node", "n", "bits")
+        label = self.sets.select("tag", "node")
         if component is None:
             label = label.withColumn("c", F.col("node"))
         else:
-            label = label.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        label = common.keep(self.spark, label, "labels")
-        told = common.keep(self.spark, self.members.join(label.select("tag", "node", "c"), "tag").select("g", "node", "c"), "told")
-        mixed = told.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most")
-        blocks = F.ceil(F.col("size") / BLOCK)
-        mixed = common.keep(self.spark, mixed.select("g", blocks.alias("blocks")), "mixed")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        apart = told.join(mixed, "g").select("g", "node", "blocks", own.alias("block"))
-        apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        apart = apart.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
-        apart = apart.join(label.select("node", "c", "n", "bits"), "node")
-        met = apart.groupBy("g", "i", "j").agg(F.collect_list(F.struct("node", "c", "n", "block", "bits")).alias("x")).select("i", "j", "x")  # 2 * BLOCK members, about
+            label = label.join(component, "node", "left").select("tag", "node", F.coalesce("component", "node").alias("c"))
+        told = common.keep(self.spark, self.members.join(label, "tag").select("g", "node", "c"), "told")
+        mixed = told.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("g")
+        mixed = common.keep(self.spark, mixed.join(self.centres, "g"), "mixed")
+        near_to = common.keep(self.spark, told.join(mixed, "g").select("centre", "node", "c").distinct(), "near-to")
+        blocks = common.keep(self.spark, near_to.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "blocks")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+        apart = near_to.join(blocks, "centre").select("centre", "node", "c", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        apart = apart.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "c", "block")
+        apart = apart.join(self.sets.select("node", "n", "bits"), "node")
+        met = apart.groupBy("centre", "i", "j").agg(F.collect_list(F.struct("node", "c", "n", "block", "bits")).alias("x")).select("i", "j", "x")  # two blocks
         near = common.keep(self.spark, common.frames(met, _cross, "a long, b long").distinct(), "candidates")
         out = self.verified(near)
-        common.forget(self.spark, near, told, mixed, label)
+        common.forget(self.spark, near, told, mixed, near_to, blocks)
         return out
 
     def done(self, *but: DataFrame) -> None:
         common.forget(self.spark, *[x for x in self.kept if x._lodestone_path not in {b._lodestone_path for b in but}])
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
+def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, mark (64 bits of the text), n_shingles, component_id, component.
 
-    A null or empty text has no shingles and is alone; a text of fewer than five words has one
-    shingle, its whole word sequence; equal texts link; rows that repeat an id are documents of their
-    own, which share nothing but the id unless their texts link; a null id is linked with nothing
-    and its component is null; texts of any length are taken whole; an empty table yields an empty
-    result; other columns are ignored.
+    ``component`` tells components apart whose least ids are the same; null for a row that links with nothing
+    for want of shingles or an id.
     """
     join = _Join(spark, docs)
     first = join.central()
@@ -477,15 +474,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         common.forget(spark, comp)
         comp = common.keep(spark, graph.components(spark, first.unionByName(second)), "components")
     # Only classes with a link are in `comp`; the others are their own component.
-    linked = join.classes.select("node", "set_key", "rep").join(comp, "node")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(least, "component").select("set_key", "component_id")
-    all_of = join.classes.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    told = join.classes.select("node", "set_key", "rep").join(comp, "node")
+    least = told.groupBy("component").agg(F.min("rep").alias("component_id"))
+    told = told.join(least, "component").select("set_key", "component", "component_id")
+    all_of = join.classes.select("set_key", "rep", "node").join(told, "set_key", "left").select("set_key", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
     all_of = common.keep(spark, all_of, "class-components")  # a table: the next join may then split a large class
     common.forget(spark, comp)
     join.done(join.kept[0])
-    some = join.rows.filter("set_key IS NOT NULL").join(all_of, "set_key").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(join.rows.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    some = join.rows.filter("set_key IS NOT NULL").join(all_of, "set_key").select("doc_id", "mark", "n_shingles", "component_id", "component")
+    alone = join.rows.filter("set_key IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return some.unionByName(alone)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
+
+    A null or empty text has no shingles and is alone; a text of fewer than five words has one
+    shingle, its whole word sequence; equal texts link; rows that repeat an id are documents of their
+    own, which share nothing but the id unless their texts link; a null id is linked with nothing
+    and its component is null; any 64-bit id is exact; texts of any length are taken whole; an empty table
+    yields an empty result; other columns are ignored.
+    """
+    return linked(spark, docs).select("doc_id", "n_shingles", "component_id")
+
+
+def redundant(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id and mark of the rows of ``docs`` that go if of each component only the first document (by id, then mark) stays."""
+    rows = common.keep(spark, linked(spark, docs).filter("component IS NOT NULL").select("doc_id", "mark", "component"), "linked")
+    own = F.struct("doc_id", "mark")
+    first = rows.groupBy("component").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first < last").select("component", "first")
+    first = common.keep(spark, first, "first")
+    return rows.join(first, "component").filter(own > F.col("first")).select("doc_id", "mark").distinct()
 
 
 def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
