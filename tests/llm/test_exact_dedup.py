@@ -42,13 +42,28 @@ def test_history(spark):
 
 def test_perfect_hash():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 2, 7, 1000, 20_000):
+    for n in (0, 1, 2, 7, 1000, 50_000):
         d = rng.integers(0, 1 << 63, (n, 4)).astype(np.uint64)
-        h = ed.PerfectHash(d)
-        assert sorted(h.slots.tolist()) == list(range(n))
+        h, slots = ed.PerfectHash.build(d)
+        assert sorted(slots.tolist()) == list(range(n))
         if n:
-            assert (h.slots[h.lookup(d)] == np.arange(n)).all()
-            h.lookup(rng.integers(0, 1 << 63, (50, 4)).astype(np.uint64))  # strangers get some slot, never an error
+            assert (h.lookup(d) == slots).all()
+            strange = h.lookup(rng.integers(0, 1 << 63, (50, 4)).astype(np.uint64))  # strangers get some slot
+            assert ((0 <= strange) & (strange < n)).all()
+
+
+def test_lookups_decide(spark, monkeypatch):
+    """Without the index's answers members would come out as groups of their own."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = ed.common.keep(spark, ed.signatures(docs), "sig")
+    old, new = sig.filter("doc_id < 150"), sig.filter("doc_id >= 150")
+    index = ed.build(spark, old, 4)
+    found = ed.resolve(spark, index, new, 4)
+    assert found.count() == found.select("digest").distinct().count() == len({w[3] for w in brute(rows).values()})
+    blind = index.selectExpr("shard", "shift", "cast(repeat('x', length(digests)) as binary) as digests", "groups")  # slots that hold other digests
+    broken = ed.resolve(spark, blind, new, 4)
+    assert broken.filter("known").agg({"group_size": "sum"}).first()[0] == 150 < found.filter("known").agg({"group_size": "sum"}).first()[0]
 
 
 def test_nulls_and_repeats(spark):
@@ -56,3 +71,11 @@ def test_nulls_and_repeats(spark):
     got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"] or False) for r in ed.exact_dedup(spark, docs).collect())
     assert got == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 1, True)]
     assert ed.exact_dedup(spark, docs.limit(0)).count() == 0
+
+
+def test_extreme_ids(spark):
+    big = 1 << 60
+    rows = [(big + 1, "a"), (big + 3, "a"), (None, "b"), (-(1 << 63), "c"), ((1 << 63) - 1, "c"), (-(1 << 63) + 1, "c"), (5, "a b"), (6, "ab")]
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in ed.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = -(1 << 63)
+    assert got == {(big + 1, big + 1, True), (big + 3, big + 1, False), (None, None, True), (low, low, True), ((1 << 63) - 1, low, False), (low + 1, low, False), (5, 5, True), (6, 5, False)}
