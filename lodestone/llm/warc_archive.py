@@ -1,16 +1,18 @@
 """A content-addressed WARC archive.
 
 Two tables in the shared folder: *payloads* holds every distinct payload once, compressed,
-under its SHA-256; *headers* holds for each record its exact header bytes and the
-payload's digest.  Records are put together again by joining the two; each payload's digest
-is verified when it is read, and a mismatch is an error.
+under its SHA-256; *headers* holds for each record its exact header bytes, the
+payload's digest and whether it is a revisit.  Records are put together again by joining the two: a
+response with its payload, which is read, decompressed and verified once (a mismatch is an error), and a revisit,
+which has no block, with the payload's digest alone.  All joins are between tables, the side of the payloads with
+one row per digest, so that adaptive execution may split the records of a payload that many pages have.
 
 Equal payloads keep one response record (the largest page id); the others are revisit
 records without a block, which name the response and the payload's digest.
 
 Defined results: a null html is an empty payload; empty payloads are equal; pages that repeat an
 id give a record each, all of the same type; a null id is never a response if an equal payload has an id;
-other columns are ignored; an empty table yields an empty archive.
+any 64-bit id is exact; other columns are ignored; an empty table yields an empty archive.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ from . import common
 
 #: Records carry no time of capture; a fixed one keeps archives reproducible.
 DATE = "1970-01-01T00:00:00Z"
+REVISIT = b"\r\nWARC-Type: revisit\r\n"
 
 
 @dataclass
 class Archive:
     payloads: DataFrame  # digest, payload (zstd)
-    headers: DataFrame  # digest, header
+    headers: DataFrame  # digest, header, revisit
 
 
 def payload_digest(raw: bytes) -> str:
@@ -77,7 +80,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 def _describe(batches):
     for pdf in batches:
         raw = [x.encode() for x in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "digest": [hashlib.sha256(x).digest() for x in raw], "sha1": [payload_digest(x) for x in raw], "n": [len(x) for x in raw]})
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "digest": [hashlib.sha256(x).digest() for x in raw], "sha1": [payload_digest(x) for x in raw], "n": [len(x) for x in raw]})
 
 
 def _payloads(batches):
@@ -95,58 +98,70 @@ def _payloads(batches):
 
 def _headers(batches):
     for pdf in batches:
-        yield pd.DataFrame({"digest": pdf["digest"], "header": [header(*x) for x in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["sha1"], pdf["n"], pdf["response"].astype("Int64"), strict=True)]})
+        made = [header(*x) for x in zip(pdf["page_id"], pdf["url"], pdf["sha1"], pdf["n"], pdf["response"], strict=True)]
+        yield pd.DataFrame({"digest": pdf["digest"], "header": made, "revisit": [REVISIT in x for x in made]})
 
 
 def write(spark: SparkSession, pages: DataFrame) -> Archive:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    made = common.keep(spark, rows.mapInPandas(_describe, "page_id long, url string, digest binary, sha1 string, n long"), "pages")
-    chosen = made.groupBy("digest").agg(F.max("page_id").alias("response"))
-    headers = common.keep(spark, made.join(chosen, "digest").mapInPandas(_headers, "digest binary, header binary"), "headers")
-    payloads = common.keep(spark, rows.mapInPandas(_payloads, "digest binary, payload binary").dropDuplicates(["digest"]), "payloads")
-    common.forget(spark, made)
+    made = common.keep(spark, common.frames(rows, _describe, "page_id long, url string, digest binary, sha1 string, n long"), "pages")
+    chosen = common.keep(spark, made.groupBy("digest").agg(F.max("page_id").alias("response")), "responses")
+    headers = common.keep(spark, common.frames(made.join(chosen, "digest"), _headers, "digest binary, header binary, revisit boolean"), "headers")
+    payloads = common.keep(spark, common.frames(rows, _payloads, "digest binary, payload binary").dropDuplicates(["digest"]), "payloads")
+    common.forget(spark, made, chosen)
     return Archive(payloads, headers)
 
 
-def _whole(head: bytes, payload: bytes, digest: bytes) -> tuple[bytes, bytes]:
-    """The record's bytes and its payload, verified."""
+def _read(payload: bytes, digest: bytes) -> bytes:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     if hashlib.sha256(raw).digest() != digest:
         raise ValueError("a stored payload doesn't have its digest")
-    block = b"" if b"\r\nWARC-Type: revisit\r\n" in head else raw
-    return head + block + b"\r\n\r\n", raw
+    return raw
 
 
 def _records(batches):
     for pdf in batches:
-        got = [_whole(*x) for x in zip(pdf["header"], pdf["payload"], pdf["digest"], strict=True)]
-        yield pd.DataFrame({"record": [x[0] for x in got], "payload": [x[1] for x in got]})
+        raw = [b"" if p is None else _read(p, d) for p, d in zip(pdf["payload"], pdf["digest"], strict=True)]
+        yield pd.DataFrame({"record": [h + x + b"\r\n\r\n" for h, x in zip(pdf["header"], raw, strict=True)], "digest": pdf["digest"]})
 
 
 def records(archive: Archive) -> DataFrame:
-    """record (its original bytes) and payload, also of revisits. A payload with many records is no
-    bottleneck: adaptive execution splits the records' side."""
-    return archive.headers.join(archive.payloads, "digest").mapInPandas(_records, "record binary, payload binary")
+    """record (its original bytes) and digest; only responses read a payload."""
+    responses = archive.headers.filter("NOT revisit").join(archive.payloads, "digest").select("digest", "header", "payload")
+    revisits = archive.headers.filter("revisit").select("digest", "header", F.lit(None).cast("binary").alias("payload"))
+    return common.frames(responses.unionByName(revisits), _records, "record binary, digest binary")
+
+
+def _facts(batches):
+    """Of each payload, from its stored bytes."""
+    for pdf in batches:
+        raw = [_read(*x) for x in zip(pdf["payload"], pdf["digest"], strict=True)]
+        yield pd.DataFrame({"digest": pdf["digest"], "payload_bytes": list(map(len, raw)), "payload_digest": list(map(payload_digest, raw))})
 
 
 def _summaries(batches):
     for pdf in batches:
         out = []
-        for head, payload, digest in zip(pdf["header"], pdf["payload"], pdf["digest"], strict=True):
-            record, raw = _whole(head, payload, digest)
+        for record, n, sha1 in zip(pdf["record"], pdf["payload_bytes"], pdf["payload_digest"], strict=True):
             fields, block = parse(record)
-            kind, sha1 = fields["WARC-Type"], payload_digest(raw)
-            if fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or block != (b"" if kind == "revisit" else raw):
+            kind = fields["WARC-Type"]
+            if fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or (block if kind == "revisit" else payload_digest(block) != sha1):
                 raise ValueError("a record doesn't agree with its payload")
-            out.append((_id(fields["WARC-Record-ID"]), len(raw), sha1, kind, _id(fields["WARC-Refers-To"]) if kind == "revisit" else None))
-        got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+            out.append((_id(fields["WARC-Record-ID"]), n, sha1, kind, _id(fields["WARC-Refers-To"]) if kind == "revisit" else None))
+        got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+        yield got
+
+
+def summaries(spark: SparkSession, archive: Archive) -> DataFrame:
+    """Per record, told from its own bytes and its payload's: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    facts = common.keep(spark, common.frames(archive.payloads, _facts, "digest binary, payload_bytes long, payload_digest string"), "facts")
+    told = records(archive).join(facts, "digest")
+    return common.frames(told.select("record", "payload_bytes", "payload_digest"), _summaries, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the archive, reads it back, and tells each record's facts from its own bytes."""
-    archive = write(spark, common.table(spark, sf_dir, "pages"))
-    return archive.headers.join(archive.payloads, "digest").mapInPandas(_summaries, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """Writes the archive, reads it back, and tells each record's facts."""
+    return summaries(spark, write(spark, common.table(spark, sf_dir, "pages")))
 
 
 ORACLE = """

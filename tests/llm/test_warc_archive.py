@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import pytest
+import zstandard
 from lodestone.llm import warc_archive as wa
 from pyspark.sql import functions as F
 
@@ -15,10 +16,11 @@ def archive(spark):
 
 def test_round_trip(spark, archive):
     assert archive.payloads.count() == len({r[2] or "" for r in ROWS})
+    stored = {bytes(r["digest"]): zstandard.ZstdDecompressor().decompress(bytes(r["payload"])) for r in archive.payloads.collect()}
     got = []
     for r in wa.records(archive).collect():
         fields, block = wa.parse(bytes(r["record"]))
-        raw = bytes(r["payload"])
+        raw = stored[bytes(r["digest"])]
         assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert block == (raw if fields["WARC-Type"] == "response" else b"")
         got.append((fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Refers-To"), raw.decode()))
@@ -43,3 +45,13 @@ def test_damage_is_noticed(spark, archive):
 def test_empty(spark):
     a = wa.write(spark, spark.createDataFrame([], "page_id long, url string, html string"))
     assert wa.records(a).count() == 0
+
+
+def test_summaries(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "u", "a"), (big + 2, "u", "a"), (None, "u", "b"), (-(1 << 63), "u", "b"), (None, "u", "c"), (3, None, None), (4, "u", "")]
+    got = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in wa.summaries(spark, wa.write(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    low = -(1 << 63)
+    want = {(big, 1, sha(b"a"), "revisit", big + 2), (big + 2, 1, sha(b"a"), "response", None), (None, 1, sha(b"b"), "revisit", low), (low, 1, sha(b"b"), "response", None), (None, 1, sha(b"c"), "response", None), (3, 0, sha(b""), "revisit", 4), (4, 0, sha(b""), "response", None)}
+    assert got == want
