@@ -15,8 +15,12 @@ outside the vocabulary is a token of its own, spelt by its byte pieces.
 The pieces that hold two or more marks all have the same, lowest score, so that
 their merges come last and from the left; a run of marks is merged that way.
 
+Decoding joins the bytes of all ids of a text.  Pieces are whole characters, so the joined bytes are
+valid UTF-8 exactly if each run of byte pieces is; only otherwise are runs replaced one by one.
+
 Defined results: a null or empty text has only the end id; every other text is
-encoded whole.  Repeated rows give repeated results, other columns are ignored.
+encoded whole, however long.  A null id stays null, repeated rows give repeated results, an empty table
+gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import heapq
 import re
 import string
 from collections import Counter
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +38,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 MARK = "▁"
-#: Parts whose ids a worker remembers; beyond, it forgets those unused since it was last full.
-MEMO = 500_000
+#: Parts whose ids a worker remembers, and how long they are at most; beyond, it forgets those unused since it was last full.
+MEMO, LONGEST = 400_000, 48
+#: Pairs of tokens whose compatibility a worker remembers; each token is a piece of the vocabulary or a character.
+PAIRS = 1_000_000
 
 
-def merge(symbols: list[str], score: dict[str, float]) -> list[str]:
-    """The rule itself: join the adjacent pair of highest score, the leftmost first."""
+def merge(symbols: list[str], score: dict[str, float], but: str | None = None) -> list[str]:
+    """The rule itself: join the adjacent pair of highest score, the leftmost first; never to ``but``."""
     sym: list[str | None] = list(symbols)
     after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
     heap: list[tuple[float, int, int, str]] = []
 
     def offer(i, j):
-        if i >= 0 and j < len(sym) and (s := score.get(sym[i] + sym[j])) is not None:
-            heapq.heappush(heap, (-s, i, j, sym[i] + sym[j]))
+        if i >= 0 and j < len(sym) and (s := score.get(both := sym[i] + sym[j])) is not None and both != but:
+            heapq.heappush(heap, (-s, i, j, both))
 
     for i in range(len(sym) - 1):
         offer(i, i + 1)
@@ -83,6 +90,9 @@ class Codec:
         self.control = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
         self.end = proto.trainer_spec.eos_id
+        self.spelt = [b"" if i in self.control else " \u2047 ".encode() if i == self.unknown else bytes([self.id_bytes[i]]) if i in self.id_bytes else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.decimal = list(map(str, range(len(self.pieces))))
+        self.marked = {i for i, p in enumerate(self.pieces) if p.startswith(MARK)}
         runs = [p for p in self.score if MARK * 2 in p]
         rest = [s for p, s in self.score.items() if MARK * 2 not in p and len(p) > 1]
         if any(MARK in p[1:] and p.strip(MARK) for p in self.score) or runs and max(self.score[p] for p in runs) >= min(rest) or len(set(rest)) < len(rest):
@@ -90,9 +100,16 @@ class Codec:
         self.runs = {p: self.score[p] for p in runs}
         self.walk = ahocorasick.Automaton()
         self.single = {p: s for p, s in self.score.items() if p not in self.runs}
+        #: When a piece is made: early ones have low numbers; and the two that make it.
+        self.rank = {p: k for k, p in enumerate(sorted((p for p in self.single if len(p) > 1), key=lambda p: -self.single[p]))}
+        self.halves: dict[str, tuple[str, str]] = {}
         for p in self.single:
-            if len(p) == 1 or merge(list(p), self.single) == [p]:  # else it never appears
-                self.walk.add_word(p, (p, len(p)))
+            if len(p) > 1:
+                halves = merge(list(p), self.single, but=p)
+                if len(halves) > 2:
+                    continue  # it never appears
+                self.halves[p] = tuple(halves)
+            self.walk.add_word(p, (p, len(p)))
         self.walk.make_automaton()
         self.parts = self._borders()
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -120,11 +137,29 @@ class Codec:
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = merge(list(left + right), self.single) == [left, right]
+            known = self.pairs[key] = self._stay_apart(left, right)
         return known
 
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both gives the two back.
+
+        Their merges are undone from the last one on. Between two steps the symbols beside the border must
+        not be joined before the next of them is used up, that is before ``limit``.
+        """
+        rank, limit = self.rank, len(self.rank)
+        while True:
+            if rank.get(left + right, limit) < limit:
+                return False
+            a, b = rank.get(left, -1), rank.get(right, -1)
+            if a > b:
+                limit, left = a, self.halves[left][1]
+            elif b >= 0:  # of equal pieces the right one is made last, and after a pair across the border
+                limit, right = b + 1, self.halves[right][0]
+            else:
+                return True
+
     def tokens(self, part: str) -> list[str]:
         """The pieces of a part with one mark at most, and single characters outside the vocabulary."""
         n = len(part)
@@ -185,25 +220,23 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become blanks, the first one goes, control ids are silent."""
+        raw = b"".join(map(self.spelt.__getitem__, ids))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            text = self._in_runs(ids)
+        return text[1:] if next((i for i in ids if i not in self.control), None) in self.marked else text
+
+    def _in_runs(self, ids: list[int]) -> str:
         out: list[str] = []
-        raw = bytearray()
+        run = bytearray()
         for i in ids:
             if i in self.id_bytes:
-                raw.append(self.id_bytes[i])
-                continue
-            if raw:
-                out.append(utf8(bytes(raw)))
-                raw.clear()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.control:
-                piece = self.pieces[i]
-                if not out and piece.startswith(MARK):
-                    piece = piece[1:]
-                out.append(piece.replace(MARK, " "))
-        if raw:
-            out.append(utf8(bytes(raw)))
-        return "".join(out)
+                run.append(self.id_bytes[i])
+            else:
+                out += [utf8(bytes(run)), self.spelt[i].decode()]
+                run.clear()
+        return "".join([*out, utf8(bytes(run))])
 
 
 def utf8(raw: bytes) -> str:
@@ -226,51 +259,67 @@ def utf8(raw: bytes) -> str:
         return "".join(out)
 
 
-def _encoder(model: bytes):
+class Encoder:
+    """A codec with a worker's memory of short parts."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.memo, self.old = codec, {}, {}
+
+    def _ids(self, part: str) -> list[int]:
+        if (found := self.memo.get(part)) is not None:
+            return found
+        found = self.old.get(part)
+        if found is None:
+            found = self.codec.part(part)
+        if len(part) <= LONGEST:
+            if len(self.memo) > MEMO // 2:
+                self.old, self.memo = self.memo, {}
+            self.memo[part] = found
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        parts = self.codec.split(text)
+        known = list(map(self.memo.get, parts))
+        if None in known:
+            known = list(map(self._ids, parts))
+        known.append((self.codec.end,))
+        return list(chain.from_iterable(known))
+
+    def count(self, text: str) -> int:
+        """The number of ids."""
+        parts = self.codec.split(text)
+        known = list(map(self.memo.get, parts))
+        if None in known:
+            known = list(map(self._ids, parts))
+        return sum(map(len, known)) + 1
+
+
+def encoder(model: bytes) -> Encoder:
+    """This worker's encoder of a model."""
     cache = common.worker_cache("sentencepiece")
     key = hashlib.sha256(model).digest()
     if key not in cache:
-        cache[key] = (Codec(model), {}, {}, set())
+        cache[key] = Encoder(Codec(model))
     return cache[key]
 
 
 def _rows(batches, model: bytes):
-    codec, memo, old, odd = _encoder(model)
-    end = str(codec.end)
+    own = encoder(model)
     for pdf in batches:
-        ids, decoded = [], []
-        for text in pdf["text"]:
-            parts = codec.split(text)
-            known = list(map(memo.get, parts))
-            if None in known:
-                for k, part in enumerate(parts):
-                    if known[k] is None and (found := memo.get(part)) is not None:
-                        known[k] = found
-                    elif known[k] is None:
-                        if len(memo) > MEMO // 2:
-                            old.clear()
-                            old.update(memo)
-                            memo.clear()
-                        if (found := old.get(part)) is not None:
-                            known[k] = memo[part] = found
-                            continue
-                        own = codec.part(part)
-                        known[k] = memo[part] = " ".join(map(str, own))
-                        # Else through decode(), where a letter in front keeps the mark of an inner part.
-                        if "".join(map(codec.pieces.__getitem__, own)) != part and codec.decode([codec.ids["a"], *own])[1:] != part.replace(MARK, " "):
-                            odd.add(part)
-            known.append(end)
-            ids.append(" ".join(known))
-            if odd and not odd.isdisjoint(parts):
-                decoded.append(codec.decode(list(map(int, ids[-1].split()))))
-            else:  # every part decodes to itself; the first mark was put in front
-                decoded.append(text.replace(MARK, " "))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [x.count(" ") + 1 for x in ids], "ids": ids, "decoded": decoded})
+        coded = list(map(own.encode, pdf["text"]))
+        yield pd.DataFrame(
+            {
+                "doc_id": pdf["doc_id"],
+                "n_tokens": list(map(len, coded)),
+                "ids": [" ".join(map(own.codec.decimal.__getitem__, x)) for x in coded],
+                "decoded": list(map(own.codec.decode, coded)),
+            }
+        )
 
 
 def codec_table(docs: DataFrame, model: bytes) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids (decimal, one blank between), decoded text."""
-    return common.texts(docs).mapInPandas(lambda it: _rows(it, model), "doc_id long, n_tokens long, ids string, decoded string")
+    return common.frames(common.texts(docs), lambda it: _rows(it, model), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def _digests(batches, model: bytes):
@@ -290,4 +339,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests are taken in the workers, so that ids and texts need not pass to the JVM."""
     model = default_model()
     docs = common.texts(common.table(spark, sf_dir, "documents"))
-    return docs.mapInPandas(lambda it: _digests(it, model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.frames(docs, lambda it: _digests(it, model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
