@@ -2,11 +2,12 @@
 
 A document's tokens are its words and, for each word that repeats the one before it,
 the mark of a doubled word.  A token's vector is the mean of the learned vectors of its
-hashed features: the whole word and its character n-grams (3 to 5 bytes of ``<word>``).
+hashed features: the whole word and its character n-grams (3 to 5 characters of ``<word>``).
 The document's vector is the mean over its tokens, and a softmax layer gives the class
 probabilities.  Vectors and layer are trained together by stochastic gradient descent
 in NumPy, on a bounded sample of labelled rows (``sample`` rows, those whose ids have
-the smallest hashes), whole texts each.
+the smallest hashes), whole texts each.  The workers hash the texts; what reaches the driver is a row
+of at most ``BUCKETS`` features for each.
 
 Because mean and layer are linear, scoring needs one number per feature (its vector times
 the difference of the class weights); the workers remember one per word.
@@ -14,12 +15,14 @@ the difference of the class weights); the workers remember one per word.
 Defined results: a null or empty text has no tokens and gets the score of the bias alone;
 a labelled row without text trains nothing; repeated label rows count once, with the
 higher label; without any usable label every score is 0.5; repeated documents get equal
-scores; other columns are ignored.
+scores; a null id stays null, and is not held out; texts of any length are taken whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from operator import eq
 from zlib import crc32
 
@@ -47,6 +50,11 @@ def features(word: bytes) -> list[int]:
     out = [crc32(word, 1) % BUCKETS]
     if word != DOUBLED:
         w = b"<" + word + b">"
+        if not w.isascii():
+            chars = w.decode()
+            for n in range(GRAMS[0], GRAMS[1] + 1):
+                out += [crc32(chars[i : i + n].encode()) % BUCKETS for i in range(len(chars) - n + 1)]
+            return out
         for n in range(GRAMS[0], GRAMS[1] + 1):
             out += [crc32(w[i : i + n]) % BUCKETS for i in range(len(w) - n + 1)]
     return out
@@ -65,26 +73,28 @@ class Model:
         self.weight, self.bias = weight, bias
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    rows, memo = [], {}
-    for text in texts:
-        words, doubled = tokens(text)
-        n = len(words) + doubled
-        counts: dict[int, float] = {}
-        seen: dict[bytes, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-        if doubled:
-            seen[DOUBLED] = doubled
-        for w, c in seen.items():
-            own = memo.get(w)
-            if own is None:
-                own = memo[w] = features(w)
-            share = c / (n * len(own))
-            for f in own:
-                counts[f] = counts.get(f, 0.0) + share
-        rows.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))))
-    memo.clear()
+def shares(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and the share that each has in its vector."""
+    words, doubled = tokens(text)
+    n = len(words) + doubled
+    counts: dict[int, float] = {}
+    seen = Counter(words)
+    if doubled:
+        seen[DOUBLED] = doubled
+    for w, c in seen.items():
+        own = memo.get(w)
+        if own is None:
+            if len(memo) > MEMO:
+                memo.clear()
+            own = memo[w] = features(w)
+        share = c / (n * len(own))
+        for f in own:
+            counts[f] = counts.get(f, 0.0) + share
+    return np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+    """rows: the shares of each text."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -110,13 +120,23 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on labelled rows outside the held-out fold; at most ``sample`` of them reach the driver."""
+    """Train on labelled rows outside the held-out fold; the features of at most ``sample`` of them reach the driver."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    wanted = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "text", "quality")
+
+    def hashed(batches):
+        memo: dict = {}
+        for pdf in batches:
+            made = [shares(t, memo) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "quality": pdf["quality"], "at": [x[0].tobytes() for x in made], "share": [x[1].tobytes() for x in made]})
+
+    told = common.frames(wanted, hashed, "doc_id long, mark long, quality int, at binary, share binary")
+    rows = told.toPandas().sort_values(["doc_id", "mark"]).drop_duplicates("doc_id")
     if not len(rows):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    return train(rows["text"].tolist(), (rows["quality"] > 0).astype(int).tolist())
+    made = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for a, s in zip(rows["at"], rows["share"], strict=True)]
+    return train(made, (rows["quality"] > 0).astype(int).tolist())
 
 
 def held_out():
@@ -150,9 +170,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         own, memo = Model(*shared.value), {}
         weight = own.weight.tolist()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score_texts(pdf["text"], own, weight, memo)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score_texts(pdf["text"], own, weight, memo)})
 
-    return common.texts(docs).mapInPandas(run, "doc_id long, score double")
+    return common.frames(common.texts(docs), run, "doc_id long, score double")
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

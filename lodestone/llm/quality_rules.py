@@ -12,7 +12,8 @@ merge join at every size: their number grows with the labels, so they are never
 
 Defined results: a null text has no words; a text without words has all counts 0 and fails
 the base rules; without trusted rows the score is 0 for all; repeated documents get equal
-results; other columns are ignored.
+results; a null id stays null; texts of any length are taken whole; an empty table gives an empty result;
+other columns are ignored.  Words, windows and lines are compared themselves, not by hashes.
 """
 
 from __future__ import annotations
@@ -44,12 +45,23 @@ def grams(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, pair ^ (pair >> np.uint64(29))]) >> np.uint64(64 - 16)
 
 
-def repeat_words(h: np.ndarray) -> int:
+def repeat_words(words: list[bytes]) -> int:
     """Words inside windows of five that occur twice or more."""
-    n = len(h) - WINDOW + 1
+    n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    win = sum((h[k : k + n] * _ODD[k] for k in range(1, WINDOW)), h[:n] * _ODD[0])
+    # Numbers for the words, then for ever longer strings of them: equal numbers are equal words.
+    number = dict(zip(words, range(len(words)), strict=True))
+    own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    size = len(words)
+    if size**WINDOW < 1 << 63:
+        win = own[:n]
+        for k in range(1, WINDOW):
+            win = win * size + own[k : k + n]
+    else:
+        pair = np.unique(own[:-1] * size + own[1:], return_inverse=True)[1]
+        four = np.unique(pair[:-2] * size + pair[2:], return_inverse=True)[1]
+        win = four[:n] * size + own[WINDOW - 1 :]
     order = np.argsort(win)
     same = win[order[1:]] == win[order[:-1]]
     if not same.any():
@@ -87,7 +99,7 @@ def ratios(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -> np.n
     """log(target / raw) of each bucket."""
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     told = common.texts(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = told.mapInPandas(_count, "bucket int, raw long, target long")
+    counted = common.frames(told, _count, "bucket int, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
@@ -101,16 +113,17 @@ def _judge(batches, ratio):
     for pdf in batches:
         out = []
         for text in pdf["text"]:
-            h = word_hashes(text.encode().split())
+            words = text.encode().split()
+            h = word_hashes(words)
             n = len(h)
             chars = len(text) - sum(map(text.count, common.WHITE.decode()))
-            repeats = repeat_words(h)
+            repeats = repeat_words(words)
             failed = n < 10 or 100 * repeats > 20 * n
             mean = float(table[grams(h).astype(np.int64)].mean()) if n else 0.0
             out.append((n, chars, sum(map(text.count, SYMBOLS)), dup_lines(text), repeats, failed, not failed and mean >= THRESHOLD, mean))
         got = pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"])
-        got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-        yield got.astype({"doc_id": "Int64"})
+        got.insert(0, "doc_id", pdf["doc_id"])
+        yield got
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
@@ -119,7 +132,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def quality_rules(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """Per row of ``docs`` the counts, base_failed, kept, and the ratio."""
     ratio = spark.sparkContext.broadcast(ratios(spark, docs, trusted_ids))
-    return common.texts(docs).mapInPandas(lambda it: _judge(it, ratio), SCHEMA)
+    return common.frames(common.texts(docs), lambda it: _judge(it, ratio), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,69 @@ def test_rules_without_trust(spark):
     assert qr.quality_rules(spark, docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def brute_classifier(texts, labels):
+    """The classifier token by token and feature by feature, in double precision; only the feature hash, the start and the order of steps are the operator's."""
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(-1 / qc.DIM, 1 / qc.DIM, (qc.BUCKETS, qc.DIM)).astype(np.float32).astype(float)
+    layer, bias = np.zeros((2, qc.DIM)), np.zeros(2)
+
+    def tokens(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        out = []
+        for k, w in enumerate(words):
+            grams = [f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+            out.append([crc32(w.encode(), 1) % qc.BUCKETS] + [crc32(g.encode()) % qc.BUCKETS for g in grams])
+            if k and w == words[k - 1]:
+                out.append([crc32(b"\n=", 1) % qc.BUCKETS])
+        return out
+
+    def weights(text):
+        own = tokens(text)
+        share = Counter()
+        for t in own:
+            for f in t:
+                share[f] += 1 / (len(t) * len(own))
+        return share
+
+    def chances(text):
+        mean = sum((w * vectors[f] for f, w in weights(text).items()), np.zeros(qc.DIM))
+        z = layer @ mean + bias
+        return mean, np.exp(z) / np.exp(z).sum()
+
+    done, steps = 0, qc.EPOCHS * len(texts)
+    for _ in range(qc.EPOCHS):
+        for k in rng.permutation(len(texts)):
+            rate = qc.RATE * (1 - done / steps)
+            done += 1
+            if share := weights(texts[k]):
+                mean, p = chances(texts[k])
+                p[labels[k]] -= 1
+                back = p @ layer
+                layer -= rate * np.outer(p, mean)
+                bias -= rate * 0.1 * p
+                for f, w in share.items():
+                    vectors[f] -= rate * np.sqrt(w) * back
+    return lambda text: chances(text)[1][1]
+
+
+def test_classifier_against_brute_force(spark):
+    rows = corpus(60) + [(1000, "éa éa naïve 中文字 x", 1), (1001, "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in qc.score(spark, docs, qc.fit(spark, docs, labels)).collect()}
+    own = {i: (t, q) for i, t, q in rows if crc32(str(i).encode()) % 5}
+    score = brute_classifier([own[i][0] for i in sorted(own)], [own[i][1] for i in sorted(own)])
+    assert all(abs(got[i] - score(t)) < 1e-3 for i, t, _ in rows)
+
+
+def test_ids_are_exact(spark):
+    big, low = (1 << 60) + 1, -(1 << 63)
+    docs = spark.createDataFrame([(i, "a b c") for i in (big, big + 2, None, low)], "doc_id long, text string").coalesce(1)
+    model = qc.fit(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
+    for df in (qc.score(spark, docs, model), qr.quality_rules(spark, docs, docs.select("doc_id").limit(0))):
+        assert {r["doc_id"] for r in df.collect()} == {big, big + 2, None, low}
+
+
 def corpus(n):
     rng = random.Random(2)
     good, bad = [f"wal{k}d" for k in range(300)], [f"zz{k}%%" for k in range(300)]
