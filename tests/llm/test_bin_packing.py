@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import sentencepiece
 from lodestone.llm import bin_packing as bp
+from lodestone.llm import sentencepiece_codec as sc
 
 
 def slow(lengths, sizes):
@@ -35,9 +37,10 @@ def test_against_slow_packing():
 
 def test_table(spark):
     rng = random.Random(1)
-    rows = [(i, "x" * rng.choice([0, 10, 500, 1023, 8191, 8192, 20000])) for i in range(300)] + [(300, None), (None, "é" * 700), (5, "again"), (5, "again")]
+    rows = [(i, "\n" * rng.choice([0, 10, 500, 1022, 8190, 8191, 20000])) for i in range(300)] + [(300, None), (None, "é x" * 700), (5, "again"), (5, "again"), ((1 << 60) + 1, "a b c")]
+    lib = sentencepiece.SentencePieceProcessor(model_proto=sc.default_model())
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, bin_id int").repartition(3)
-    got = bp.best_fit(spark, docs).collect()
+    got = bp.best_fit(spark, bp.token_lengths(docs)).collect()
     bins = {}
     for r in got:
         bins.setdefault((r["bin_id"], r["bin_size"], r["bin_used"]), []).append((r["bin_offset"], r["length"]))
@@ -48,7 +51,7 @@ def test_table(spark):
             at += length
         assert at == used <= size and not any(used <= s < size for s in bp.SIZES)
     assert len({b for b, _, _ in bins}) == len(bins)
-    want = sorted((i if i is not None else -1, len((t or "").encode()) + 1) for i, t in rows)
+    want = sorted((i if i is not None else -1, len(lib.encode(t or "")) + 1) for i, t in rows)
     total = {}
     for r in got:
         total[r["doc_id"] if r["doc_id"] is not None else -1] = total.get(r["doc_id"] if r["doc_id"] is not None else -1, 0) + r["length"]
@@ -56,4 +59,4 @@ def test_table(spark):
     for i, n in want:
         sums[i] = sums.get(i, 0) + n
     assert total == sums
-    assert bp.best_fit(spark, docs.limit(0)).count() == 0
+    assert bp.best_fit(spark, bp.token_lengths(docs.limit(0))).count() == 0
