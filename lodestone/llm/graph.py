@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least id m of u and its neighbours; counted per u first, so a hot u splits."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+def _least(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the least id m of u and its neighbours, which is a table (kept), so that the join may split a hot u."""
+    least = common.keep(spark, edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return edges.join(least, "u"), least
 
 
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,11 +26,12 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     mark = print_of(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _least(large)
+        told, least = _least(spark, both)
+        large = common.keep(spark, told.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        small, lesser = _least(spark, large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = common.keep(spark, small, "edges")
-        common.forget(spark, now)
+        common.forget(spark, now, least, lesser, large)
         now, before = after, mark
         mark = print_of(now)
         if mark == before:
