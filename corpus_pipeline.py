@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the
 last return the columns of ``documents``.  Rows without an id pass the deduplicating stages; rows
-that repeat an id count as one document there.
+that repeat an id are told apart by their texts there, and go with them alone.
 """
 
 from __future__ import annotations
@@ -21,16 +21,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(spark, docs.select(*COLUMNS), model)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text (its mark) are not in ``gone``."""
+    told = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return told.join(gone, ["doc_id", "mark"], "left_anti").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest stays."""
-    gone = exact_dedup.exact_dedup(spark, docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = exact_dedup.exact_dedup(spark, docs).filter("NOT kept").select("doc_id", "mark").distinct()
+    return _without(docs, gone)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, the one with the smallest id."""
-    gone = jaccard_join.near_duplicates(spark, docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, jaccard_join.redundant(spark, docs))
 
 
 def strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,8 @@ def strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences; documents without text take no room."""
-    return bin_packing.best_fit(spark, docs.filter(F.length("text") > 0))
+    """Pack the tokens of what is left into training sequences; documents without text take no room."""
+    return bin_packing.best_fit(spark, bin_packing.token_lengths(docs.filter(F.length("text") > 0)))
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("suffix-array dedup", strings), ("best-fit packing", packing)]
