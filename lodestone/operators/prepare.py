@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
@@ -15,27 +17,47 @@ from lodestone.sources.reviews import OPTIONAL, REQUIRED, require
 COLUMNS = ("user_id", "item_id", "rating", "timestamp", "Summary", "Text", "is_positive")
 
 
+#: The steps whose rows are counted, in order.
+STEPS = ("required_values", "copy_removal", "pair_aggregation", "k_core")
+
+
 @dataclass(frozen=True)
 class PreparationReport:
+    """Rows at the start and after each of ``STEPS``, and facts about what is left."""
+
     raw_rows: int
-    after_required_values: int
-    after_copy_removal: int
-    after_pair_aggregation: int
-    after_k_core: int
-    users: int
-    items: int
-    positive_fraction: float
-    k_core_rounds: int
+    after: dict[str, int]
+    facts: dict[str, int | float]
 
     def to_dict(self) -> dict[str, int | float]:
-        return asdict(self)
+        return {"raw_rows": self.raw_rows, **{f"after_{step}": self.after[step] for step in STEPS}, **self.facts}
+
+    def __getattr__(self, name: str):
+        if not name.startswith("_") and name in (told := self.to_dict()):
+            return told[name]
+        raise AttributeError(name)
 
 
 def checkpointing(spark: SparkSession) -> None:
-    """Checkpoints go where ``spark.checkpoint.dir`` says; to a folder of our own only where it is unset."""
+    """Checkpoints go where ``spark.checkpoint.dir`` says; where it is unset, to a folder of our own in local mode only."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not found:
+            found = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, found, True)
+        sc.setCheckpointDir(found)
+
+
+def checkpointed(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpointed and counted, computed once: what a checkpoint would compute a second time is persisted until then."""
+    held = df.persist()
+    n = held.count()
+    out = held.checkpoint()
+    held.unpersist()
+    return out, n
 
 
 def required_values(raw: DataFrame) -> DataFrame:
@@ -74,15 +96,13 @@ def k_core(rows: DataFrame, min_user: int, min_item: int, user: str = "UserId",
     A round is two semi joins against counts; each round is checkpointed, so plans stay short.
     """
     checkpointing(rows.sparkSession)
-    now, before, rounds = rows.checkpoint(), -1, 0
-    n = now.count()
+    (now, n), before, rounds = checkpointed(rows), -1, 0
     while before != n:
         before = n
         rounds += 1
         for key, least in ((user, min_user), (item, min_item)):
             now = now.join(now.groupBy(key).count().filter(F.col("count") >= least).select(key), key, "left_semi")
-        now = now.checkpoint()
-        n = now.count()
+        now, n = checkpointed(now)
     return now, n, rounds
 
 
@@ -91,14 +111,15 @@ def canonical(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def prepare(raw: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, PreparationReport]:
-    """Interactions (COLUMNS and row_order) and the counts of each step."""
+    """Interactions (COLUMNS and row_order) and the counts of each step; the source is read once."""
     checkpointing(raw.sparkSession)
-    kept = required_values(raw)
-    timed = numeric_time(kept)
-    unique = drop_copies(timed) if settings.drop_copied_reviews else timed
-    unique = unique.checkpoint()
-    pairs = last_per_pair(unique).checkpoint()
-    core, n, rounds = k_core(pairs, settings.min_user_interactions, settings.min_item_interactions)
+    seen, counted = Observation(), F.count(F.lit(1)).alias("n")
+    kept = Observation()
+    timed = numeric_time(required_values(raw.observe(seen, counted)).observe(kept, counted))
+    unique, n_unique = checkpointed(drop_copies(timed) if settings.drop_copied_reviews else timed)
+    pairs, n_pairs = checkpointed(last_per_pair(unique))
+    core, n_core, rounds = k_core(pairs, settings.min_user_interactions, settings.min_item_interactions)
     out = canonical(core, settings.positive_threshold)
-    facts = out.agg(F.countDistinct("user_id").alias("u"), F.countDistinct("item_id").alias("i"), F.avg("is_positive").alias("p")).first()
-    return out, PreparationReport(raw.count(), kept.count(), unique.count(), pairs.count(), n, facts["u"], facts["i"], float(facts["p"] or 0.0), rounds)
+    told = out.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"), F.coalesce(F.avg("is_positive"), F.lit(0.0)).alias("positive_fraction")).first()
+    after = dict(zip(STEPS, (kept.get["n"], n_unique, n_pairs, n_core), strict=True))
+    return out, PreparationReport(seen.get["n"], after, {**told.asDict(), "k_core_rounds": rounds})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,19 +84,72 @@ def pair_latest(spark, sf_dir):
     return prepare.last_per_pair(reviews.purchases(spark, sf_dir)).select("UserId", "ProductId", "Score", "Time")
 
 
-def _core_sql(rounds: int) -> str:
-    out, last = [], "pairs"
+def _core(rounds: int, least: int, last: str) -> str:
+    """Common table expressions of a k-core, and after them `core`; an error if the rounds don't suffice."""
+    out = [f"c0 AS (SELECT * FROM {last})"]
     for k in range(rounds):
-        out.append(f"u{k} AS (SELECT * FROM {last} QUALIFY count(*) OVER (PARTITION BY u) >= 20), v{k} AS (SELECT * FROM u{k} QUALIFY count(*) OVER (PARTITION BY i) >= 20)")
-        last = f"v{k}"
-    return BASE + ", " + ", ".join(out) + f' SELECT u AS "UserId", i AS "ProductId" FROM {last}'
+        out.append(f"u{k} AS (SELECT * FROM c{k} QUALIFY count(*) OVER (PARTITION BY u) >= {least}), c{k + 1} AS (SELECT * FROM u{k} QUALIFY count(*) OVER (PARTITION BY i) >= {least})")
+    same = f"(SELECT count(*) FROM c{rounds}) = (SELECT count(*) FROM c{rounds - 1})"
+    return ", ".join(out) + f", core AS (SELECT * FROM c{rounds} WHERE CASE WHEN {same} THEN true ELSE error('more rounds are needed') END)"
 
 
-@query(_core_sql(6))
+@query(BASE + ", " + _core(8, 20, "pairs") + ' SELECT u AS "UserId", i AS "ProductId" FROM core')
 def kcore_20(spark, sf_dir):
     return prepare.k_core(prepare.last_per_pair(reviews.purchases(spark, sf_dir)).select("UserId", "ProductId"), 20, 20)[0]
 
 
+def _normal(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# Purchases with what a review file may have: missing ids, scores and texts, times that are no numbers.
+DIRTY = BASE + f""", dirty AS (SELECT CASE WHEN k1 % 13 = 0 THEN NULL ELSE u END AS u, CASE WHEN k1 % 17 = 0 THEN NULL ELSE i END AS i, CASE WHEN k1 % 19 = 0 THEN NULL ELSE s END AS s,
+  CASE WHEN k1 % 23 = 0 THEN NULL WHEN k1 % 29 = 0 THEN 'soon' WHEN k1 % 31 = 0 THEN 'NaN' ELSE CAST(t AS VARCHAR) END AS t, CASE WHEN k1 % 3 = 0 THEN NULL ELSE summary END AS summary, text, k1, k2, k3, k4 FROM reviews),
+full_rows AS (SELECT * FROM dirty WHERE u IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL),
+timed AS (SELECT * REPLACE (TRY_CAST(t AS DOUBLE) AS t) FROM full_rows WHERE TRY_CAST(t AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(t AS DOUBLE))),
+uniq AS (SELECT * FROM timed QUALIFY row_number() OVER (PARTITION BY u, s, trim({_normal("summary")} || ' ' || {_normal("text")}) ORDER BY t, i, k1, k2, k3, k4) = 1),
+last_rows AS (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY u, i ORDER BY t DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC) = 1),
+""" + _core(8, 5, "last_rows")
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, key = reviews.purchases(spark, sf_dir), F.col("row_order.l_orderkey")
+    gone = lambda n, c: F.when(key % n == 0, F.lit(None)).otherwise(F.col(c)).alias(c)
+    time = F.when(key % 23 == 0, F.lit(None)).when(key % 29 == 0, "soon").when(key % 31 == 0, "NaN").otherwise(F.col("Time").cast("string"))
+    return raw.select(gone(13, "UserId"), gone(17, "ProductId"), gone(19, "Score"), time.alias("Time"), gone(3, "Summary"), "Text", "row_order")
+
+
+@query(DIRTY + """ SELECT u AS user_id, i AS item_id, s AS rating, t AS "timestamp", CAST(s >= 4 AS TINYINT) AS is_positive FROM core""")
+def prepare_interactions(spark, sf_dir):
+    """All steps of the preparation, in one go."""
+    return prepare.prepare(dirty(spark, sf_dir))[0].select("user_id", "item_id", "rating", "timestamp", "is_positive")
+
+
+def _report_sql() -> str:
+    count = lambda t: f"CAST((SELECT count(*) FROM {t}) AS DOUBLE)"
+    rounds = "CASE " + " ".join(f"WHEN {count(f'c{k}')} = {count(f'c{k + 1}')} THEN {k + 1}.0" for k in range(8)) + " END"
+    told = {"raw_rows": count("dirty"), "after_required_values": count("full_rows"), "after_copy_removal": count("uniq"), "after_pair_aggregation": count("last_rows"), "after_k_core": count("core")}
+    told |= {"users": "(SELECT count(DISTINCT u) FROM core)", "items": "(SELECT count(DISTINCT i) FROM core)", "positive_fraction": "(SELECT round(avg(CASE WHEN s >= 4 THEN 1.0 ELSE 0.0 END), 6) FROM core)", "k_core_rounds": rounds}
+    return DIRTY + " " + " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS value" for k, v in told.items())
+
+
+@query(_report_sql())
+def prepare_report(spark, sf_dir):
+    report = prepare.prepare(dirty(spark, sf_dir))[1].to_dict()
+    return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "metric string, value double").withColumn("value", F.round("value", 6))
+
+
+@query(BASE + """SELECT u AS "UserId", i AS "ProductId", CASE WHEN k2 = 3 THEN NULL ELSE s END AS "Score", CAST(t AS VARCHAR) AS "Time", CASE WHEN k2 = 2 THEN 'a "quoted", name' || chr(10) || 'of two lines' ELSE summary END AS "Summary" FROM reviews""")
+def csv_reviews(spark, sf_dir):
+    """Purchases written to CSV files and read again."""
+    raw, line = reviews.purchases(spark, sf_dir), F.col("row_order.l_linenumber")
+    told = raw.select("UserId", "ProductId", F.when(line == 3, "NA").otherwise(F.col("Score").cast("string")).alias("Score"), "Time", F.when(line == 2, 'a "quoted", name\nof two lines').otherwise(F.col("Summary")).alias("Summary"))
+    prepare.checkpointing(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/reviews-{uuid.uuid4().hex}"
+    told.write.option("header", True).option("escape", '"').csv(path)
+    return reviews.read_csv(spark, path).select("UserId", "ProductId", "Score", "Time", "Summary")
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM documents""")
 def normalise_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", normalise(F.col("text")).alias("normal"))
@@ -132,8 +187,8 @@ def _good(train, test):
 
 
 def _popularity_top(train, good, k=20):
-    scored = models.Popularity().fit(train).score(evaluate.candidates(train, good.select("user_id").distinct()))
-    return evaluate.ranked(scored.withColumn("score", F.round("score", 9)), k, tie="md5")
+    scores = models.Popularity().fit(train).scores.withColumn("score", F.round("score", 9))
+    return evaluate.top_by_item_score(train, good.select("user_id").distinct(), scores, k, tie="md5")
 
 
 @query(BASE + "SELECT user_id, item_id, round(score, 6) AS score, rank FROM poptop WHERE rank <= 10")
@@ -151,26 +206,27 @@ def cooccurrence_gram(spark, sf_dir):
 
 @query(BASE + "SELECT item_i, item_j, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS sim FROM nb")
 def itemknn_neighbors(spark, sf_dir):
-    return models.neighbours(models.positive(parts(spark, sf_dir)[0]), 20).select("item_i", "item_j", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+    return models.neighbours(models.positive(parts(spark, sf_dir)[0]), 20, digits=9).select("item_i", "item_j", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
 @query(BASE + "SELECT item_i, item_j, round(sim * n / (n + 10), 6) AS sim FROM nb")
 def itemknn_shrunk(spark, sf_dir):
-    return models.neighbours(models.positive(parts(spark, sf_dir)[0]), 20, 10.0).select("item_i", "item_j", F.round("sim", 6).alias("sim"))
+    return models.neighbours(models.positive(parts(spark, sf_dir)[0]), 20, 10.0, digits=9).select("item_i", "item_j", F.round("sim", 6).alias("sim"))
 
 
 @query(BASE + "SELECT user_id, item_id, score FROM knn")
 def itemknn_scores(spark, sf_dir):
     events = models.positive(parts(spark, sf_dir)[0])
-    return models.history_scores(events, models.neighbours(events, 20)).select("user_id", "item_id", F.round("score", 9).alias("score"))
+    return models.history_scores(events, models.neighbours(events, 20, digits=9)).select("user_id", "item_id", F.round("score", 9).alias("score"))
 
 
 @query(BASE + """SELECT user_id, item_id, coalesce(score, 0) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(score, 0) DESC, md5('42|' || user_id || '|' || item_id)) AS BIGINT) AS rank
 FROM cand LEFT JOIN knn USING (user_id, item_id) QUALIFY rank <= 10""")
 def itemknn_topk(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    scored = models.ItemKNN(20).fit(train).score(evaluate.candidates(train, _good(train, test).select("user_id").distinct()))
-    top = evaluate.ranked(scored.withColumn("score", F.round("score", 9)), 10, tie="md5")
+    model = models.ItemKNN(20, digits=9).fit(train)
+    scores = models.history_scores(model.events, model.weights).withColumn("score", F.round("score", 9))
+    top = evaluate.top_of_sparse(train, _good(train, test).select("user_id").distinct(), scores, 10, tie="md5")
     return top.select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -259,7 +315,7 @@ def weighted_hybrid(spark, sf_dir):
         def score(self, pairs):
             return self.model.score(pairs).withColumn("score", F.round("score", 9))
 
-    fused = models.WeightedHybrid({"a": Rounded(models.Popularity().fit(train)), "b": Rounded(models.ItemKNN(20).fit(train))}, {"a": 1.0, "b": 3.0})
+    fused = models.WeightedHybrid({"a": Rounded(models.Popularity().fit(train)), "b": Rounded(models.ItemKNN(20, digits=9).fit(train))}, {"a": 1.0, "b": 3.0})
     return fused.score(_good(train, test)).withColumn("score", F.round("score", 6))
 
 
@@ -316,6 +372,34 @@ def rating_metrics_global_mean(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def _evaluation_sql() -> str:
+    """The metrics, counters and coverage of the queries above as rows."""
+    rows = []
+    for k in KS:
+        for m in evaluate.METRICS:
+            rows.append(f"SELECT '{m}@{k}' AS metric, {m}_{k} AS value FROM ranking")
+        for c in ("coverage", "average_positive_popularity"):
+            rows.append(f"SELECT '{c}@{k}', {c} FROM shown_share WHERE k = {k}")
+    for c in ("positive_test_events", "positive_test_users", "eligible_users", "cold_user_targets", "cold_item_targets", "no_candidate_users", "catalog_items"):
+        rows.append(f"SELECT '{c}', CAST({c} AS DOUBLE) FROM counters")
+    inner = {"ranking": "ranking_metrics", "shown_share": "coverage_popularity", "counters": "cohort_counters"}
+    tables = ", ".join(f"{name} AS ({ORACLES[q]})" for name, q in inner.items())
+    return f"WITH {tables} " + " UNION ALL ".join(rows)
+
+
+@query(_evaluation_sql())
+def evaluate_popularity(spark, sf_dir):
+    """The whole evaluation of one model, as the experiment runs it."""
+    train, test = parts(spark, sf_dir)
+
+    class Rounded(models.Popularity):
+        def score(self, pairs):
+            return super().score(pairs).withColumn("score", F.round("score", 9))
+
+    got = evaluate.evaluate_ranking(Rounded().fit(train), train, test, k_values=KS, tie="md5")
+    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "metric string, value double").withColumn("value", F.round("value", 6))
+
+
 ADJACENCY = """, ed AS (SELECT DISTINCT 'u' || user_id AS u, 'i' || item_id AS i FROM pos), e2 AS (SELECT u AS src, i AS dst FROM ed UNION ALL SELECT i, u FROM ed),
 dg AS (SELECT src AS node, count(*) AS d FROM e2 GROUP BY src), ad AS (SELECT src, dst, 1 / sqrt(CAST(a.d * b.d AS DOUBLE)) AS weight FROM e2 JOIN dg a ON a.node = src JOIN dg b ON b.node = dst)
 """
@@ -368,9 +452,3 @@ def bootstrap_ci(spark, sf_dir):
     train, test = parts(spark, sf_dir)
     good = _good(train, test)
     return evaluate.bootstrap(evaluate.user_metrics(_popularity_top(train, good), good, KS), KS, 500)
-
-
-@query()
-def prepare_report(spark, sf_dir):
-    report = prepare.prepare(reviews.purchases(spark, sf_dir))[1].to_dict()
-    return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "metric string, value double")
