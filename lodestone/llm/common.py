@@ -9,13 +9,15 @@ executor can reach, so that a lost executor costs a recomputation and no data.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pandas as pd
 import pyarrow as pa
@@ -107,6 +109,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: workers live on, and their executor's memory is counted with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def to_frame(batch: pa.RecordBatch | pa.Table) -> pd.DataFrame:
     """Pandas would make doubles of 64-bit integers beside a null; these stay integers."""
     return batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
@@ -119,5 +129,6 @@ def frames(df: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Iterable[pd.Da
     def call(batches):
         for pdf in run(map(to_frame, batches)):
             yield pa.RecordBatch.from_pandas(pdf, schema=out, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(call, schema)

@@ -53,7 +53,7 @@ from .repeats import mix, pack
 
 WORDS = 5
 #: Shingles a task holds before it sends their signatures off.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Documents whose signatures tell which are frequent, and the share of them that counts as such.
 SAMPLE, FREQUENT = 2000, 0.01
 #: Classes of one centre in a block, about; two blocks are compared at a time.
@@ -529,3 +529,16 @@ def class_links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sha256(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM d UNION SELECT r.doc_id, d.b FROM r JOIN d ON d.a = r.reached),
+c AS (SELECT doc_id, min(reached) AS m FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -41,7 +41,7 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 6, 0.6
 GRAMS = (3, 5)
 THRESHOLD = 0.3
 #: Words whose number a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 DOUBLED = b"\n="  # no word holds a line end
 
 

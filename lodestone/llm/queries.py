@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op2_license_scan": license_scan.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op4_warc": warc_archive.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

@@ -39,9 +39,9 @@ from . import common
 
 MARK = "▁"
 #: Parts whose ids a worker remembers, and how long they are at most; beyond, it forgets those unused since it was last full.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 200_000, 48
 #: Pairs of tokens whose compatibility a worker remembers; each token is a piece of the vocabulary or a character.
-PAIRS = 1_000_000
+PAIRS = 250_000
 
 
 def merge(symbols: list[str], score: dict[str, float], but: str | None = None) -> list[str]:

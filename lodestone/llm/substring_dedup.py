@@ -36,7 +36,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Share of the sample that makes an anchor or a window a frequent one.
 FREQUENT = 0.01
 #: Keys a task holds before it sends them off.
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: A window's key: two sums of word hashes.
 KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
@@ -349,3 +349,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is taken in the workers."""
     rows, keys, firsts = _marked(spark, common.table(spark, sf_dir, "documents"))
     return common.frames(rows, lambda it: _digest(it, keys, firsts), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS k FROM p),
+r AS (SELECT doc_id, i FROM k QUALIFY doc_id > min(doc_id) OVER (PARTITION BY k)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM r),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+s AS (SELECT doc_id, count(*) AS n, string_agg(w[i], ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id)
+"""

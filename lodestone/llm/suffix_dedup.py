@@ -39,9 +39,9 @@ BACK = SIZE - LEAD
 #: Suffixes of a sampled document that are drawn for splitters, at most.
 DRAWN = 32
 #: Bytes of a document looked at together.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Suffixes and contexts a task holds before it sends them off.
-FLUSH, HELD = 1_000_000, 300_000
+FLUSH, HELD = 400_000, 150_000
 #: Groups up to this size are put in order at once.
 SMALL = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -517,3 +517,19 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is taken in the workers."""
     return common.frames(marked(spark, common.table(spark, sf_dir, "documents")), lambda it: _remove(it, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM t),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM p),
+r AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+e AS (SELECT doc_id, i, coalesce(i > 100 + lag(i) OVER (PARTITION BY doc_id ORDER BY i), true) AS fresh FROM r),
+n AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, run),
+m AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+q AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM m JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN q USING (doc_id)
+"""
