@@ -39,9 +39,9 @@ from . import common
 
 MARK = "▁"
 #: Parts whose ids a worker remembers, and how long they are at most; beyond, it forgets those unused since it was last full.
-MEMO, LONGEST = 200_000, 48
+MEMO, LONGEST = 400_000, 48
 #: Pairs of tokens whose compatibility a worker remembers; each token is a piece of the vocabulary or a character.
-PAIRS = 250_000
+PAIRS = 500_000
 
 
 def merge(symbols: list[str], score: dict[str, float], but: str | None = None) -> list[str]:
@@ -264,6 +264,7 @@ class Encoder:
 
     def __init__(self, codec: Codec):
         self.codec, self.memo, self.old = codec, {}, {}
+        self.counts: dict[str, int] = {}
 
     def _ids(self, part: str) -> list[int]:
         if (found := self.memo.get(part)) is not None:
@@ -285,13 +286,20 @@ class Encoder:
         known.append((self.codec.end,))
         return list(chain.from_iterable(known))
 
+    def _count(self, part: str) -> int:
+        if (found := self.counts.get(part)) is None:
+            found = len(self.codec.part(part))
+            if len(part) <= LONGEST:
+                if len(self.counts) >= MEMO:
+                    self.counts.clear()
+                self.counts[part] = found
+        return found
+
     def count(self, text: str) -> int:
-        """The number of ids."""
+        """The number of ids; of parts only their number is remembered."""
         parts = self.codec.split(text)
-        known = list(map(self.memo.get, parts))
-        if None in known:
-            known = list(map(self._ids, parts))
-        return sum(map(len, known)) + 1
+        known = list(map(self.counts.get, parts))
+        return sum(known if None not in known else map(self._count, parts)) + 1
 
 
 def encoder(model: bytes) -> Encoder:
