@@ -44,7 +44,8 @@ _LOW = np.uint64((1 << 40) - 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """Two hashes of 64 bits for each word, in two rows."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T
 
 
 def strings(h: np.ndarray, size: int) -> np.ndarray:
@@ -56,11 +57,32 @@ def strings(h: np.ndarray, size: int) -> np.ndarray:
     return repeats.mix(total)
 
 
-def windows(words: list[bytes], h: np.ndarray) -> np.ndarray:
+def windows(h: np.ndarray) -> np.ndarray:
     """Keys of the windows at all places: 64 bits each of two independent hashes of the words."""
-    other = np.fromiter((xxhash.xxh3_64_intdigest(w, 7) for w in words), np.uint64, len(words))
-    out = np.empty(max(0, len(h) - WINDOW + 1), KEY)
-    out["a"], out["b"] = strings(h, WINDOW), strings(other, WINDOW)
+    out = np.empty(max(0, h.shape[1] - WINDOW + 1), KEY)
+    out["a"], out["b"] = strings(h[0], WINDOW), strings(h[1], WINDOW)
+    return out
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = keys[np.lexsort((keys["b"], keys["a"]))]
+    return keys[runs(keys["a"], keys["b"])]
+
+
+def members(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some; told by half of the key first."""
+    out = np.isin(keys["a"], some["a"])
+    at = np.flatnonzero(out)
+    if len(at):
+        both = np.concatenate([keys[at], some])
+        order = np.lexsort((both["b"], both["a"]))
+        run = np.cumsum(runs(both["a"][order], both["b"][order])) - 1
+        has = np.zeros(run[-1] + 1, bool)
+        has[run[order >= len(at)]] = True
+        of = np.empty(len(both), np.int64)
+        of[order] = run
+        out[at] = has[of[: len(at)]]
     return out
 
 
@@ -124,7 +146,7 @@ def _send(batches, buckets: int, frequent: np.ndarray):
             if (at := seen.get(digest)) is not None:
                 docs[at] = min(docs[at], (i, m))
                 continue
-            own = np.unique(strings(word_hashes(words), ANCHOR)[places(len(words))])
+            own = np.unique(strings(word_hashes(words)[0], ANCHOR)[places(len(words))])
             own = own[~np.isin(own, frequent)]
             seen[digest] = len(docs)
             docs.append((i, m))
@@ -175,7 +197,7 @@ def frequent_keys(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 words = text.encode().split()
                 if len(words) >= WINDOW:
                     h = word_hashes(words)
-                    a, w = np.unique(strings(h, ANCHOR)[places(len(words))]), np.unique(windows(words, h))
+                    a, w = np.unique(strings(h[0], ANCHOR)[places(len(words))]), distinct(windows(h))
                     yield pd.DataFrame({"window": np.repeat([False, True], [len(a), len(w)]), "a": np.concatenate([a, w["a"]]).view(np.int64), "b": np.concatenate([np.zeros(len(a), np.uint64), w["b"]]).view(np.int64)})
 
     told = common.frames(repeats.sampled(rows), drawn, "window boolean, a long, b long")
@@ -183,25 +205,25 @@ def frequent_keys(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     of = lambda c, w: found.loc[found["window"] == w, c].to_numpy(np.int64).view(np.uint64)
     keys = np.empty(int(found["window"].sum()), KEY)
     keys["a"], keys["b"] = of("a", True), of("b", True)
-    return np.sort(of("a", False)), np.sort(keys)
+    return np.sort(of("a", False)), distinct(keys)
 
 
 def window_keys(text: str, found, buckets: int, frequent: np.ndarray) -> np.ndarray:
     """Keys of the windows that hold a repeated anchor."""
     words = text.encode().split()
     h = word_hashes(words)
-    at = places(len(h))
-    anchors = strings(h, ANCHOR)[at]
+    at = places(len(words))
+    anchors = strings(h[0], ANCHOR)[at]
     hit = np.isin(anchors, frequent)
     if found is not None:
         hit |= np.isin(short(anchors, buckets), np.frombuffer(found, np.uint64))
     if not hit.any():
         return np.zeros(0, KEY)
-    near = np.zeros(len(h) + 1, np.int64)
+    near = np.zeros(len(words) + 1, np.int64)
     np.add.at(near, np.maximum(at[hit] - PERIOD + 1, 0), 1)
     np.add.at(near, at[hit] + 1, -1)
-    own = windows(words, h)
-    return np.unique(own[np.cumsum(near)[: len(own)] > 0])
+    own = windows(h)
+    return distinct(own[np.cumsum(near)[: len(own)] > 0])
 
 
 WINDOWS = "bucket int, frequent boolean, key binary, at binary, docs binary"
@@ -210,7 +232,7 @@ WINDOWS = "bucket int, frequent boolean, key binary, at binary, docs binary"
 def _extend(batches, buckets: int, anchors: np.ndarray, frequent: np.ndarray):
     docs: list[tuple[int, int]] = []
     keys: list[np.ndarray] = []
-    firsts: dict[int, tuple[int, int]] = {}
+    firsts: dict[bytes, tuple[int, int]] = {}
     size = 0
 
     def flush():
@@ -230,9 +252,9 @@ def _extend(batches, buckets: int, anchors: np.ndarray, frequent: np.ndarray):
     for pdf in batches:
         for i, m, text, found in zip(pdf["doc_id"], pdf["mark"], pdf["text"], pdf["found"], strict=True):
             own = window_keys(text, found, buckets, anchors)
-            often = np.isin(own, frequent)
-            for k in np.searchsorted(frequent, own[often]).tolist():
-                firsts[k] = min(firsts.get(k, (i, m)), (i, m))
+            often = members(own, frequent)
+            for k in own[often]:
+                firsts[k.tobytes()] = min(firsts.get(k.tobytes(), (i, m)), (i, m))
             own = own[~often]
             if len(own):
                 docs.append((i, m))
@@ -244,7 +266,7 @@ def _extend(batches, buckets: int, anchors: np.ndarray, frequent: np.ndarray):
     if size:
         yield flush()
     if firsts:
-        yield pd.DataFrame([(k % buckets, True, frequent[k : k + 1].tobytes(), b"", repeats.docs_of([d]).tobytes()) for k, d in firsts.items()], columns=[c.split()[0] for c in WINDOWS.split(", ")])
+        yield pd.DataFrame([(xxhash.xxh3_64_intdigest(k) % buckets, True, k, b"", repeats.docs_of([d]).tobytes()) for k, d in firsts.items()], columns=[c.split()[0] for c in WINDOWS.split(", ")])
 
 
 def _later(batches, dests: int):
@@ -277,8 +299,8 @@ def removed_words(words: list[bytes], found, whole: bool, frequent: np.ndarray)
         return gone
     if whole:
         return ~gone
-    own = windows(words, word_hashes(words))
-    at = np.flatnonzero(np.isin(own, np.concatenate([np.frombuffer(found or b"", KEY), frequent])))
+    own = windows(word_hashes(words))
+    at = np.flatnonzero(members(own, np.concatenate([np.frombuffer(found or b"", KEY), frequent])))
     step = np.zeros(len(words) + 1, np.int64)
     step[at] += 1
     np.add.at(step, at + WINDOW, -1)
