@@ -407,8 +407,8 @@ class _Join:
         self.classes = common.keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         n = common.buckets(spark, docs)
         frequent = frequent_signatures(spark, rows)
-        sent = common.frames(rows, lambda it: _send(it, n, frequent), SENT).repartition(n, "bucket")
-        met = common.frames(sent, lambda it: _groups(it, n, frequent), "dest int, doc binary, value binary").repartition(n, "dest")
+        sent = common.dealt(common.frames(rows, lambda it: _send(it, n, frequent), SENT), n, "bucket")
+        met = common.dealt(common.frames(sent, lambda it: _groups(it, n, frequent), "dest int, doc binary, value binary"), n, "dest")
         self.members = common.keep(spark, common.frames(met, _retain, "g long, tag long, often int"), "members")
         wanted = self.classes.join(self.members.select("tag").distinct(), "tag", "left_semi").select(F.col("rep").alias("doc_id"), "node", "tag", "set_key")
         read = common.frames(rows.join(wanted, "doc_id"), _read, "node long, tag long, n int, bits binary, set binary")

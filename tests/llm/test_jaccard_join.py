@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 
@@ -121,3 +122,25 @@ def test_all_links(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
     told = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in membership.collect()}
     assert told == {i: (min(ids), sum(min(ids) in p for p in want)) for ids in sets.values() for i in ids}
+
+
+def test_a_bucket_to_a_task(spark):
+    """No task gets two buckets; hashed bucket numbers met, four or five in some task."""
+    rows = corpus(6, 120)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        join = jj._Join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert len(join.members.inputFiles()) == 16
+        join.done()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_kept_tables_launch_no_process(spark):
+    """A checksum file beside a local file means that chmod was launched for either."""
+    kept = jj.common.keep(spark, spark.range(5).toDF("n"), "numbers")
+    files = [x.name for x in pathlib.Path(kept._lodestone_path.removeprefix("file:")).iterdir()]
+    assert any(x.startswith("part-") for x in files) and not any(x.endswith(".crc") for x in files)
+    assert sorted(r["n"] for r in kept.collect()) == [0, 1, 2, 3, 4]
+    jj.common.forget(spark, kept)
