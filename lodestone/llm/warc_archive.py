@@ -125,11 +125,17 @@ def _records(batches):
         yield pd.DataFrame({"record": [h + x + b"\r\n\r\n" for h, x in zip(pdf["header"], raw, strict=True)], "digest": pdf["digest"]})
 
 
+def _responses(archive: Archive) -> DataFrame:
+    return archive.headers.filter("NOT revisit").join(archive.payloads, "digest").select("digest", "header", "payload")
+
+
+def _revisits(archive: Archive) -> DataFrame:
+    return archive.headers.filter("revisit").select("digest", "header", F.lit(None).cast("binary").alias("payload"))
+
+
 def records(archive: Archive) -> DataFrame:
     """record (its original bytes) and digest; only responses read a payload."""
-    responses = archive.headers.filter("NOT revisit").join(archive.payloads, "digest").select("digest", "header", "payload")
-    revisits = archive.headers.filter("revisit").select("digest", "header", F.lit(None).cast("binary").alias("payload"))
-    return common.frames(responses.unionByName(revisits), _records, "record binary, digest binary")
+    return common.frames(_responses(archive).unionByName(_revisits(archive)), _records, "record binary, digest binary")
 
 
 def _facts(batches):
@@ -139,13 +145,19 @@ def _facts(batches):
         yield pd.DataFrame({"digest": pdf["digest"], "payload_bytes": list(map(len, raw)), "payload_digest": list(map(payload_digest, raw))})
 
 
-def _summaries(batches):
+SUMMARY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _summaries(batches, kind: str):
+    """A response is told by its block, a revisit, which has none, by its payload's facts."""
     for pdf in batches:
         out = []
-        for record, n, sha1 in zip(pdf["record"], pdf["payload_bytes"], pdf["payload_digest"], strict=True):
+        made = next(_records([pdf]))["record"]
+        facts = zip(pdf["payload_bytes"], pdf["payload_digest"], strict=True) if kind == "revisit" else [None] * len(pdf)
+        for record, fact in zip(made, facts, strict=True):
             fields, block = parse(record)
-            kind = fields["WARC-Type"]
-            if fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or (block if kind == "revisit" else payload_digest(block) != sha1):
+            n, sha1 = fact or (len(block), payload_digest(block))
+            if fields["WARC-Type"] != kind or fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or (kind == "revisit" and block):
                 raise ValueError("a record doesn't agree with its payload")
             out.append((_id(fields["WARC-Record-ID"]), n, sha1, kind, _id(fields["WARC-Refers-To"]) if kind == "revisit" else None))
         got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
@@ -153,10 +165,14 @@ def _summaries(batches):
 
 
 def summaries(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Per record, told from its own bytes and its payload's: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per record, told from its own bytes and its payload's: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Records are read where they are put together: a payload travels once.
+    """
     facts = common.keep(spark, common.frames(archive.payloads, _facts, "digest binary, payload_bytes long, payload_digest string"), "facts")
-    told = records(archive).join(facts, "digest")
-    return common.frames(told.select("record", "payload_bytes", "payload_digest"), _summaries, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    responses = common.frames(_responses(archive), lambda it: _summaries(it, "response"), SUMMARY)
+    revisits = common.frames(_revisits(archive).join(facts, "digest"), lambda it: _summaries(it, "revisit"), SUMMARY)
+    return responses.unionByName(revisits)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,30 @@ def test_summaries(spark):
     low = -(1 << 63)
     want = {(big, 1, sha(b"a"), "revisit", big + 2), (big + 2, 1, sha(b"a"), "response", None), (None, 1, sha(b"b"), "revisit", low), (low, 1, sha(b"b"), "response", None), (None, 1, sha(b"c"), "response", None), (3, 0, sha(b""), "revisit", 4), (4, 0, sha(b""), "response", None)}
     assert got == want
+
+
+def test_payloads_travel_once(spark, archive):
+    """Of the exchanges that read the archive back, one has payloads and none has records."""
+    found = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            found.append({node.output().apply(k).name() for k in range(node.output().size())})
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small
+    try:
+        walk(wa.summaries(spark, archive)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("payload" in x for x in found) == 1 and not any("record" in x for x in found)
+
+
+def test_wrong_records_are_noticed(spark, archive):
+    told = archive.headers
+    for kind in ("response", "revisit"):
+        damaged = F.when(F.col("revisit") == F.lit(kind == "revisit"), F.regexp_replace(F.col("header").cast("string"), "sha1:.", "sha1:!").cast("binary")).otherwise(F.col("header"))
+        archive.headers = told.withColumn("header", damaged)
+        with pytest.raises(Exception, match="agree"):
+            wa.summaries(spark, archive).collect()
