@@ -100,6 +100,9 @@ class Codec:
         self.runs = {p: self.score[p] for p in runs}
         self.walk = ahocorasick.Automaton()
         self.single = {p: s for p, s in self.score.items() if p not in self.runs}
+        #: Of a piece: the tokens before it whose compatibility is known; how many these are in all.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         #: When a piece is made: early ones have low numbers; and the two that make it.
         self.rank = {p: k for k, p in enumerate(sorted((p for p in self.single if len(p) > 1), key=lambda p: -self.single[p]))}
         self.halves: dict[str, tuple[str, str]] = {}
@@ -109,10 +112,9 @@ class Codec:
                 if len(halves) > 2:
                     continue  # it never appears
                 self.halves[p] = tuple(halves)
-            self.walk.add_word(p, (p, len(p)))
+            self.walk.add_word(p, (p, len(p), self.pairs.setdefault(p, {})))
         self.walk.make_automaton()
         self.parts = self._borders()
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.run_memo: dict[int, list[int]] = {}
 
     def _borders(self) -> re.Pattern:
@@ -135,11 +137,14 @@ class Codec:
         return re.compile(f"{lead}{more}|{body}{more}" + (f"|[{own['alone']}]+" if alone else ""))
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._stay_apart(left, right)
+        own = self.pairs[right]
+        if (known := own.get(left)) is None:
+            if self.n_pairs > PAIRS:
+                for x in self.pairs.values():
+                    x.clear()
+                self.n_pairs = 0
+            self.n_pairs += 1
+            known = own[left] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: str, right: str) -> bool:
@@ -160,28 +165,45 @@ class Codec:
             else:
                 return True
 
-    def tokens(self, part: str) -> list[str]:
-        """The pieces of a part with one mark at most, and single characters outside the vocabulary."""
-        n = len(part)
-        last: list[str | None] = [None] * (n + 1)
-        pairs = self.pairs
-        for at, (piece, size) in self.walk.iter(part):  # of those that end at one character, the longest first
+    def _last(self, part: str) -> list[str | None]:
+        """Of each prefix of a part with one mark at most its last piece; None for a character outside the vocabulary."""
+        last: list[str | None] = [None] * (len(part) + 1)
+        for at, (piece, size, known) in self.walk.iter(part):  # of those that end at one character, the longest first
             if last[at + 1] is None:
                 i = at + 1 - size
                 if i == 0:
                     last[at + 1] = piece
                 else:
-                    key = (last[i] or part[i - 1], piece)
-                    ok = pairs.get(key)
-                    if ok or ok is None and self.compatible(*key):
+                    left = last[i] or part[i - 1]
+                    ok = known.get(left)
+                    if ok or ok is None and self.compatible(left, piece):
                         last[at + 1] = piece
-        out, at = [], n
+        return last
+
+    def tokens(self, part: str) -> list[str]:
+        """The pieces of a part with one mark at most, and single characters outside the vocabulary."""
+        last = self._last(part)
+        out, at = [], len(part)
         while at:
             token = last[at] or part[at - 1]
             out.append(token)
             at -= len(token)
         return out[::-1]
 
+    def size(self, part: str) -> int:
+        """The number of ids of a part."""
+        if part.startswith(MARK * 2):
+            return len(self.part(part))
+        last, n, at = self._last(part), 0, len(part)
+        while at:
+            if token := last[at]:
+                n += 1
+                at -= len(token)
+            else:
+                at -= 1
+                n += len(part[at].encode())
+        return n
+
     def spell(self, tokens: list[str]) -> list[int]:
         out = list(map(self.ids.get, tokens))
         if None not in out:
@@ -265,6 +287,7 @@ class Encoder:
     def __init__(self, codec: Codec):
         self.codec, self.memo, self.old = codec, {}, {}
         self.counts: dict[str, int] = {}
+        self.old_counts: dict[str, int] = {}
 
     def _ids(self, part: str) -> list[int]:
         if (found := self.memo.get(part)) is not None:
@@ -287,19 +310,23 @@ class Encoder:
         return list(chain.from_iterable(known))
 
     def _count(self, part: str) -> int:
-        if (found := self.counts.get(part)) is None:
-            found = len(self.codec.part(part))
-            if len(part) <= LONGEST:
-                if len(self.counts) >= MEMO:
-                    self.counts.clear()
-                self.counts[part] = found
+        if (found := self.counts.get(part)) is not None:
+            return found
+        found = self.old_counts.get(part)
+        if found is None:
+            found = self.codec.size(part)
+        if len(part) <= LONGEST:
+            if len(self.counts) >= MEMO:
+                self.old_counts, self.counts = self.counts, {}
+            self.counts[part] = found
         return found
 
     def count(self, text: str) -> int:
         """The number of ids; of parts only their number is remembered."""
         parts = self.codec.split(text)
         known = list(map(self.counts.get, parts))
-        return sum(known if None not in known else map(self._count, parts)) + 1
+        new = [p for p, n in zip(parts, known, strict=True) if n is None] if None in known else ()
+        return sum(filter(None, known)) + sum(map(self._count, new)) + 1
 
 
 def encoder(model: bytes) -> Encoder:

@@ -51,3 +51,20 @@ def test_rows(spark, both):
         ids = lib.encode(t or "", add_eos=True)
         assert (got[i]["n_tokens"], got[i]["ids"], got[i]["decoded"]) == (len(ids), " ".join(map(str, ids)), lib.decode(ids)), repr(t)
     assert sc.codec_table(docs.limit(0), sc.default_model()).count() == 0
+
+
+def test_counts_with_small_memories(both, monkeypatch):
+    """The number of ids is the library's whatever is forgotten, and a part that is in every text is not forgotten."""
+    codec, lib = both
+    monkeypatch.setattr(sc, "MEMO", 40)
+    monkeypatch.setattr(sc, "PAIRS", 60)
+    own = sc.Encoder(codec)
+    for text in samples():
+        assert own.count(text) == len(lib.encode(text)) + 1, repr(text)
+    asked = []
+    for name in ("part", "size"):
+        monkeypatch.setattr(codec, name, lambda part, f=getattr(codec, name): asked.append(part) or f(part))
+    own = sc.Encoder(codec)
+    for k in range(300):
+        assert own.count(f"the w{k}") == len(lib.encode(f"the w{k}")) + 1
+    assert asked.count("\u2581the") == 1 and len(asked) >= 300
