@@ -92,7 +92,7 @@ def _unpack(batches):
 
 def gathered(packed: DataFrame, dests: int) -> DataFrame:
     """doc_id, mark and found: all facts about a document in one row."""
-    return common.frames(packed.repartition(dests, "dest"), _unpack, "doc_id long, mark long, found binary")
+    return common.frames(common.dealt(packed, dests, "dest"), _unpack, "doc_id long, mark long, found binary")
 
 
 def copies(spark: SparkSession, told: DataFrame) -> DataFrame:

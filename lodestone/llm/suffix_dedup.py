@@ -481,15 +481,15 @@ def spans_of(spark: SparkSession, rows: DataFrame, buckets: int) -> DataFrame:
     told = common.keep(spark, rows.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= SIZE).select("doc_id", "mark", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     copies = repeats.copies(spark, told)
     common.forget(spark, told)
-    sent = common.frames(rows, lambda it: _suffixes(it, cuts), SUFFIX).repartition(buckets, "bucket")
+    sent = common.dealt(common.frames(rows, lambda it: _suffixes(it, cuts), SUFFIX), buckets, "bucket")
     met = common.keep(spark, common.frames(sent, lambda it: _repeated(it, buckets), RUNS), "runs")
     known = repeats.gathered(_across(met), buckets).join(copies, ["doc_id", "mark"], "left_anti")
     known = common.keep(spark, known, "anchors")
     common.forget(spark, met)
     # Equal suffixes in one bucket: here their documents are compared.
     contexts = common.frames(rows.join(known, ["doc_id", "mark"]), lambda it: _contexts(it, np.unique(cuts)), CONTEXT)
-    apart = F.when(F.col("bucket") < 0, F.xxhash64("doc")).otherwise(F.col("bucket").cast("long"))
-    inside = repeats.gathered(common.frames(contexts.repartition(buckets, apart), lambda it: _compare(it, buckets), repeats.PACKED), buckets)
+    apart = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    inside = repeats.gathered(common.frames(common.dealt(contexts, buckets, apart), lambda it: _compare(it, buckets), repeats.PACKED), buckets)
     whole = copies.withColumn("found", F.lit(np.array([0, 1 << 62], np.int64).tobytes()))
     found = common.keep(spark, inside.unionByName(whole), "spans")
     common.forget(spark, known, copies)

@@ -113,3 +113,12 @@ def test_piece_borders(spark, monkeypatch):
         assert (int((runs[:, 1] - runs[:, 0]).sum()), len(runs), sd.cut_out(t.encode(), runs)) == want[i][1:], i
         place = sd.anchors(t.encode())[0]
         assert len(np.unique(place)) == len(place)
+
+
+def test_a_bucket_to_a_task(spark):
+    """No task gets two buckets; hashed bucket numbers met, four or five in some task."""
+    from pyspark.sql import functions as F
+
+    facts = spark.range(16).select(F.col("id").cast("int").alias("dest"), F.lit(np.array([(1, 1)], sd.repeats.DOC).tobytes()).alias("doc"), F.lit(b"x").alias("value"))
+    got = sd.repeats.gathered(facts, 16).select(F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["task"] for r in got) == list(range(16))
